@@ -72,11 +72,12 @@ def parsed(texts: DataFrame, record_id: str, text: str) -> tuple[DataFrame, Data
 def members(parents: DataFrame, collection: Collection) -> DataFrame:
     """The members of one collection of `parents` (record, path, key, value): (record, parent_path, parent_key, path, ordinal, key, value)."""
     held = parents.select("record", F.col("path").alias("parent_path"), F.col("key").alias("parent_key"), F.try_variant_get("value", _path(collection.name), "variant").alias("held"))
-    held = held.where(F.col("held").isNotNull() & F.schema_of_variant("held").rlike("^(ARRAY|OBJECT)"))
+    # What is needed of the collection as a whole is taken before it is exploded: no member carries a copy of it.
+    held = held.withColumn("shape", F.substring(F.schema_of_variant("held"), 1, 5)).where(F.col("shape").isin("ARRAY", "OBJEC"))
     spark = parents.sparkSession
     each = held.lateralJoin(spark.tvf.variant_explode(F.col("held").outer()).alias("m"))
     own_key = F.try_variant_get("m.value", _path(collection.key), "string")
-    in_array = F.schema_of_variant("held").startswith("ARRAY")
+    in_array = F.col("shape") == "ARRAY"
     return each.where(F.schema_of_variant("m.value") != "VOID").select(
         "record",
         "parent_path",
