@@ -1,4 +1,4 @@
-"""Queries on document texts: token ids (problem 6) and visually identical texts (problem 8)."""
+"""Queries on document texts: token ids (problem 6), containers of tokens (7) and visually identical texts (8)."""
 
 from __future__ import annotations
 
@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reactionloom.llm.lookalike import canonical_forms, lookalike_pairs
-from reactionloom.llm.tokenizer import decode, encode
+from reactionloom.llm.packing import containers, pack, stored_sizes
+from reactionloom.llm.tokenizer import decode, encode, token_counts
 from reactionloom.sources.tables import table
 
+#: Tokens that a container holds.
+CAPACITY = 2_048
+
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents", "doc_id", "text")
@@ -27,6 +31,17 @@ def p6_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return docs.join(back, "doc_id").join(sizes, "doc_id").select("doc_id", "n_tokens", (F.coalesce("text", F.lit("")) == F.col("back")).alias("same"))
 
 
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per container with its pieces (document, part, first token, tokens) and its fill."""
+    return containers(p7_pieces(spark, folder).withColumnsRenamed({"doc_id": "item", "start_token": "start", "n_tokens": "size"}), CAPACITY)
+
+
+def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = stored_sizes(token_counts(_documents(spark, folder)))
+    packed = pack(sizes, "doc_id", "n_tokens", CAPACITY)
+    return packed.withColumnsRenamed({"item": "doc_id", "start": "start_token", "size": "n_tokens"})
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike_pairs(_documents(spark, folder))
 
@@ -35,5 +50,5 @@ def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
     return canonical_forms(_documents(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_round_trip, p8_found, p8_forms)}
+QUERIES = {f.__name__: f for f in (p6_ids, p6_round_trip, p7_containers, p7_pieces, p8_found, p8_forms)}
 ORACLE: dict[str, str] = {}
