@@ -1,10 +1,11 @@
-"""Queries on values: term frequencies (problem 1)."""
+"""Queries on values: term frequencies (problem 1) and names mapped to the canonical list (problem 2)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reactionloom.llm.bk_tree import map_to_list
 from reactionloom.llm.term_counts import TermCounts, changes, count_in_batches
 from reactionloom.sources.tables import table
 
@@ -33,7 +34,26 @@ def p1_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _term_state(spark, folder).counts()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts)}
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    names = typed_names(spark, folder)
+    mapped = map_to_list(names, table(spark, folder, "name_list"))
+    return mapped.select(F.col("kind").alias("field"), "row_key", "ref_id").distinct()
+
+
+def typed_names(spark: SparkSession, folder: str) -> DataFrame:
+    """(kind, row_key, name) of both tables with names typed by hand."""
+    reactions = table(spark, folder, "reaction_records", "rxn_row", "name").select(F.lit("reaction").alias("kind"), F.col("rxn_row").alias("row_key"), "name")
+    compounds = table(spark, folder, "metabolites", "met_row", "name").select(F.lit("metabolite").alias("kind"), F.col("met_row").alias("row_key"), "name")
+    return reactions.unionByName(compounds)
+
+
+def p2_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """How many rows have a name without an entry, by kind and name."""
+    mapped = map_to_list(typed_names(spark, folder), table(spark, folder, "name_list"))
+    return mapped.where("ref_id = -1").groupBy("kind", "name").agg(F.count("*").alias("n_rows"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_unmatched)}
 
 _P1 = """
 WITH e AS (
