@@ -1,4 +1,4 @@
-"""Queries on values: term frequencies (problem 1) and names mapped to the canonical list (problem 2)."""
+"""Queries on values: term frequencies (problem 1), names mapped to the canonical list (2), entities of two sources (4)."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reactionloom.llm.bk_tree import map_to_list
+from reactionloom.llm.entities import match_compounds, match_reactions
 from reactionloom.llm.term_counts import TermCounts, changes, count_in_batches
 from reactionloom.sources.tables import table
 
@@ -53,7 +54,22 @@ def p2_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return mapped.where("ref_id = -1").groupBy("kind", "name").agg(F.count("*").alias("n_rows"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_unmatched)}
+def p4_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """(kind, model_row, ext_row, confidence)."""
+    t = lambda name, *columns: table(spark, folder, name, *columns)
+    compounds = t("metabolites", "met_row", "model_id", "metabolite_id", "name", "formula", "charge", "compartment")
+    models, references = t("model_list", "model_id", "organism"), t("name_list")
+    pairs = match_compounds(compounds, models, t("ext_compounds"), references).withColumn("kind", F.lit("metabolite"))
+    records, stoich = t("reaction_records", "rxn_row", "model_id", "rid", "name"), t("stoich", "model_id", "rid", "pos", "metabolite_id", "coefficient")
+    reactions = match_reactions(records, stoich, compounds, models, t("ext_reactions"), references).withColumn("kind", F.lit("reaction"))
+    return pairs.unionByName(reactions).select("kind", "model_row", "ext_row", "confidence")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_matches(spark, folder).select("kind", "model_row", "ext_row").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_unmatched, p4_found, p4_matches)}
 
 _P1 = """
 WITH e AS (
