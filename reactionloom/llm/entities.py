@@ -79,11 +79,11 @@ def compound_labels(metabolites: DataFrame, references: DataFrame) -> tuple[Data
 
 
 def looked_up(rows: DataFrame, form: str, entries: DataFrame, label: str) -> DataFrame:
-    """`rows` with the column `label`: the label that the spelling in column `form` is near, else one of its own."""
+    """`rows` with the column `label`: the label that the spelling in column `form` is near, else one of its own (`unknown`)."""
     found = map_forms(rows.select(F.lit("metabolite").alias("kind"), F.col(form).alias("form")).where("form is not null"), entries)
     found = found.select(F.col("form").alias(form), F.col("ref_id").alias("_near"))
     own = F.when(F.col(form) != "", F.xxhash64(form))
-    return rows.join(found, form, "left").withColumn(label, F.coalesce("_near", own)).drop("_near")
+    return rows.join(found, form, "left").withColumn(label, F.coalesce("_near", own)).withColumn("unknown", F.col("_near").isNull()).drop("_near")
 
 
 def _compound_fields(rows: DataFrame) -> DataFrame:
@@ -148,26 +148,30 @@ def equation_terms(external: DataFrame) -> DataFrame:
 
 
 def participants(terms: DataFrame, row: str) -> DataFrame:
-    """(row, labels, amounts): sorted participants of each reaction, and its amounts up to a factor and the direction."""
+    """(row, labels, amounts, unknown): sorted participants of each reaction, its amounts up to a factor and the direction,
+    and how many of its terms name no known compound. A term without label counts there only."""
     ignored = [F.xxhash64(F.lit(x)) for x in IGNORED]
-    summed = terms.where(~F.col("label").isin(*ignored)).groupBy(row, "label").agg(F.sum("coefficient").alias("k"))
+    unknown = terms.groupBy(row).agg(F.sum(F.col("unknown").cast("int")).alias("unknown"))
+    summed = terms.where(F.col("label").isNotNull() & ~F.col("label").isin(*ignored)).groupBy(row, "label").agg(F.sum("coefficient").alias("k"))
     top = F.max(F.abs("k")).over(W.partitionBy(row))
     lists = summed.withColumn("k", F.round(F.col("k") / top * 1_000).cast("int")).groupBy(row).agg(F.array_sort(F.collect_list(F.struct("label", "k"))).alias("terms"))
     amounts, turned = F.transform("terms", lambda t: t["k"]), F.transform("terms", lambda t: -t["k"])
-    return lists.select(F.col(row).alias("row"), F.transform("terms", lambda t: t["label"]).alias("labels"), F.least(F.to_json(amounts), F.to_json(turned)).alias("amounts"))
+    lists = lists.join(unknown, row)
+    return lists.select(F.col(row).alias("row"), F.transform("terms", lambda t: t["label"]).alias("labels"), F.least(F.to_json(amounts), F.to_json(turned)).alias("amounts"), "unknown")
 
 
 def match_reactions(records: DataFrame, stoich: DataFrame, metabolites: DataFrame, models: DataFrame, external: DataFrame, references: DataFrame) -> DataFrame:
     """(model_row, ext_row, confidence) of reactions of the same organism."""
     ids, entries = compound_labels(metabolites, references)
     rows = records.groupBy("rxn_row").agg(*[F.max(c).alias(c) for c in ("model_id", "rid", "name")])
-    terms = stoich.where("metabolite_id is not null").groupBy("model_id", "rid", "pos").agg(F.max("metabolite_id").alias("metabolite_id"), F.max("coefficient").alias("coefficient"))
-    terms = terms.withColumn("base", base_id(F.col("metabolite_id"))).join(ids, "base", "left").withColumn("label", F.coalesce("label", F.xxhash64("base")))
+    terms = stoich.groupBy("model_id", "rid", "pos").agg(F.max("metabolite_id").alias("metabolite_id"), F.max("coefficient").alias("coefficient"))
+    terms = terms.withColumn("base", base_id(F.col("metabolite_id"))).join(ids, "base", "left")
+    terms = terms.withColumn("unknown", F.col("base").isNull()).withColumn("label", F.coalesce("label", F.when(~F.col("unknown"), F.xxhash64("base"))))
     mine = rows.join(participants(rows.select("rxn_row", "model_id", "rid").join(terms, ["model_id", "rid"]), "rxn_row"), F.col("rxn_row") == F.col("row"))
-    mine = mine.join(models.select("model_id", "organism").distinct(), "model_id").select("row", "organism", "name", "labels", "amounts")
+    mine = mine.join(models.select("model_id", "organism").distinct(), "model_id").select("row", "organism", "name", "labels", "amounts", "unknown")
     words = looked_up(equation_terms(external.select("ext_row", "equation").distinct()), "form", entries, "label")
     theirs = external.select("ext_row", "organism", F.col("title").alias("name")).distinct().join(participants(words, "ext_row"), F.col("ext_row") == F.col("row"))
-    theirs = theirs.select("row", "organism", "name", "labels", "amounts")
+    theirs = theirs.select("row", "organism", "name", "labels", "amounts", "unknown")
 
     both = mine.withColumn("side", F.lit("a")).unionByName(theirs.withColumn("side", F.lit("b")))
     titles = both.where("name is not null").select(F.lit("reaction").alias("kind"), spelled(F.col("name")).alias("form"))
@@ -182,14 +186,16 @@ def match_reactions(records: DataFrame, stoich: DataFrame, metabolites: DataFram
         F.when(F.col("title").isNotNull(), F.concat_ws("|", "org", "title", "amounts")),
     ]
     pairs = window_pairs(both, keys)
-    side = lambda s, p: both.where(f"side = '{s}'").select(F.col("row").alias(s), *[F.col(c).alias(f"{p}_{c}") for c in ("genus", "labels", "amounts", "title")])
+    side = lambda s, p: both.where(f"side = '{s}'").select(F.col("row").alias(s), *[F.col(c).alias(f"{p}_{c}") for c in ("genus", "labels", "amounts", "title", "unknown")])
     x = pairs.join(side("a", "m"), "a").join(side("b", "e"), "b")
     c = F.col
     shared = F.size(F.array_intersect("m_labels", "e_labels")) / F.size(F.array_union("m_labels", "e_labels"))
     amounts = (c("m_amounts") == c("e_amounts")).cast("double")
     title = F.greatest((c("m_title") == c("e_title")).cast("double"), (F.levenshtein("m_title", "e_title") <= 2).cast("double") * 0.9)
-    scored = x.withColumn("confidence", weighted([(0.6, shared), (0.2, F.when(shared == 1, amounts)), (0.2, title)])).withColumn("shared", shared).withColumn("same_title", title)
-    evidence = (c("shared") == 1) | (c("shared") >= 0.5) & (F.coalesce("same_title", F.lit(0.0)) >= 0.9)
+    scored = x.withColumn("confidence", weighted([(0.6, shared), (0.2, F.when(shared == 1, amounts)), (0.2, title)]))
+    # A participant of one side may only be missing on the other where a term of that other side is unknown.
+    lacking_m, lacking_e = F.size(F.array_except("e_labels", "m_labels")), F.size(F.array_except("m_labels", "e_labels"))
+    evidence = (shared == 1) & (amounts == 1) | (shared >= 0.5) & (lacking_m + lacking_e > 0) & (lacking_m <= c("m_unknown") + c("e_unknown")) & (lacking_e <= c("e_unknown"))
     same_genus = F.coalesce(c("m_genus") == c("e_genus"), F.lit(True))
     edges = scored.where(evidence & same_genus & (c("confidence") >= CONFIDENT)).select("a", "b", "confidence")
     return one_to_one(edges).withColumnsRenamed({"a": "model_row", "b": "ext_row"})
