@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from reactionloom.plans import integrity
+from reactionloom.plans import integrity, network
 
-MODULES = (integrity,)
-FLAGSHIP = "p3_found"
+MODULES = (network, integrity)
+FLAGSHIP = "main_pair"
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
