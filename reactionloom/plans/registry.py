@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reactionloom.plans import drawing, integrity, network
+from reactionloom.plans import drawing, integrity, naming, network
 
-MODULES = (network, drawing, integrity)
+MODULES = (network, naming, drawing, integrity)
 FLAGSHIP = "main_pair"
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
