@@ -166,7 +166,7 @@ def match_reactions(records: DataFrame, stoich: DataFrame, metabolites: DataFram
     rows = records.groupBy("rxn_row").agg(*[F.max(c).alias(c) for c in ("model_id", "rid", "name")])
     terms = stoich.groupBy("model_id", "rid", "pos").agg(F.max("metabolite_id").alias("metabolite_id"), F.max("coefficient").alias("coefficient"))
     terms = terms.withColumn("base", base_id(F.col("metabolite_id"))).join(ids, "base", "left")
-    terms = terms.withColumn("unknown", F.col("base").isNull()).withColumn("label", F.coalesce("label", F.when(~F.col("unknown"), F.xxhash64("base"))))
+    terms = terms.withColumn("unknown", F.col("base").isNull()).withColumn("label", F.coalesce("label", F.when(~F.col("unknown"), F.xxhash64(name_form(F.col("base"))))))
     mine = rows.join(participants(rows.select("rxn_row", "model_id", "rid").join(terms, ["model_id", "rid"]), "rxn_row"), F.col("rxn_row") == F.col("row"))
     mine = mine.join(models.select("model_id", "organism").distinct(), "model_id").select("row", "organism", "name", "labels", "amounts", "unknown")
     words = looked_up(equation_terms(external.select("ext_row", "equation").distinct()), "form", entries, "label")

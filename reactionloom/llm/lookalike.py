@@ -111,7 +111,7 @@ class Transducer:
         mark, runs = _ranges(marks), _ranges(mapped)
         none = _ranges([c for c in mapped if not self.table[c]])
         jamo = "\u1100-\u11ff"
-        with_marks = re.compile(f"(?s:.)[{none}]*[{mark}][{mark}{none}]*|[{jamo}]+|[{runs}]+")
+        with_marks = re.compile(f"(?s:.)[{none}]*[{mark}][{mark}{none}]*|[{jamo}]+|[{runs}]+(?![{none}]*[{mark}])")
         return re.compile(f"[{mark}{jamo}]").search, with_marks.sub, re.compile(f"[{runs}]+").sub
 
     def _look(self, match: re.Match) -> str:
