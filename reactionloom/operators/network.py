@@ -14,7 +14,7 @@ from reactionloom.functions.chemistry import ELEMENTS, atoms, compartment, moiet
 
 #: Compounds that count as currency whatever their degree, and those never drawn as a main compound (fixed values).
 CURATED = ("atp", "adp", "nad", "nadh", "coa", "h2o", "h", "pi", "co2", "nh4")
-NEVER_PRIMARY = ("h2o", "h", "atp", "adp", "nad", "nadh", "pi")
+NEVER_PRIMARY = ("h2o", "h", "atp", "adp", "nad", "nadh", "coa", "pi")
 SUPPRESSED = ("h2o", "h")
 CUTOFF = 0.5
 DAMPING = 0.88

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reactionloom.plans import drawing, evaluation, integrity, naming, network
+from reactionloom.plans import drawing, evaluation, integrity, naming, network, output
 
-MODULES = (network, naming, evaluation, drawing, integrity)
+MODULES = (network, naming, evaluation, drawing, output, integrity)
 FLAGSHIP = "main_pair"
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
