@@ -12,14 +12,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Folders made for applications without the setting (local tests), by application id.
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. Where that is unset (local tests), a new one is made and set."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset (local tests), the application gets one of its own."""
     folder = spark.conf.get(SETTING, None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set(SETTING, folder)
+        own = spark.sparkContext.applicationId
+        folder = _OWN.get(own) or _OWN.setdefault(own, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return folder.rstrip("/")
 
 
