@@ -208,18 +208,18 @@ def map_forms(forms: DataFrame, entries: DataFrame, shard: int = SHARD) -> DataF
     """(kind, form, ref_id, distance) of the distinct `forms` (kind, form) that are near an entry (kind, ref_id, form)."""
     entries = entries.where("form <> ''").groupBy("kind", "form").agg(F.min("ref_id").alias("ref_id"))
     names = forms.where("form <> ''").select("kind", "form").distinct()
-    n = entries.count()
-    if n <= shard:
-        trees = forms.sparkSession.sparkContext.broadcast(_by_kind(entries.toPandas()))
+    head = entries.limit(shard + 1).toPandas()  # the whole list, if it has at most `shard` entries
+    if len(head) <= shard:
+        trees = forms.sparkSession.sparkContext.broadcast(_by_kind(head))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 yield from _looked_up(trees.value, batch)
 
-        parts = forms.sparkSession.sparkContext.defaultParallelism
+        parts = max(forms.sparkSession.sparkContext.defaultParallelism, int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         return names.repartition(parts, "form").mapInPandas(run, _FOUND).drop("swaps")
 
-    shards, slices = -(-n // shard), int(names.count() // SLICE) + 1
+    shards, slices = -(-entries.count() // shard), int(names.count() // SLICE) + 1
     sharded = entries.withColumn("shard", F.pmod(F.xxhash64("form"), F.lit(shards)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     sliced = names.withColumn("slice", F.pmod(F.xxhash64("form"), F.lit(slices)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 

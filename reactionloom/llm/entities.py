@@ -7,6 +7,8 @@ labels. Labels are numbers from here on, so names typed differently compare as e
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -78,14 +80,28 @@ def compound_labels(metabolites: DataFrame, references: DataFrame) -> tuple[Data
     return ids.select("base", F.xxhash64("label").alias("label")), written(entries, "entries")
 
 
-def looked_up(rows: DataFrame, form: str, entries: DataFrame, label: str) -> DataFrame:
+def near_labels(forms: list[DataFrame], entries: DataFrame, references: DataFrame) -> DataFrame:
+    """(kind, form, ref_id) of all spellings (kind, form) that are near a compound's label or a listed reaction, looked up once."""
+    listed = entries_of(references).where("kind = 'reaction'").select("kind", "ref_id", "form")
+    return written(map_forms(reduce(DataFrame.unionByName, forms), entries.unionByName(listed)).select("kind", "form", "ref_id"), "near")
+
+
+def with_label(rows: DataFrame, form: str, near: DataFrame, label: str) -> DataFrame:
     """`rows` with the column `label`: the label that the spelling in column `form` is near, else one of its own (`unknown`)."""
-    found = map_forms(rows.select(F.lit("metabolite").alias("kind"), F.col(form).alias("form")).where("form is not null"), entries)
-    found = found.select(F.col("form").alias(form), F.col("ref_id").alias("_near"))
+    found = near.where("kind = 'metabolite'").select(F.col("form").alias(form), F.col("ref_id").alias("_near"))
     own = F.when(F.col(form) != "", F.xxhash64(form))
     return rows.join(found, form, "left").withColumn(label, F.coalesce("_near", own)).withColumn("unknown", F.col("_near").isNull()).drop("_near")
 
 
+def compound_forms(external: DataFrame) -> DataFrame:
+    return external.where("title is not null").select(F.lit("metabolite").alias("kind"), name_form(F.col("title")).alias("form"))
+
+
+def reaction_forms(records: DataFrame, external: DataFrame) -> DataFrame:
+    titles = records.select("name").union(external.select("title")).where("name is not null").select(F.lit("reaction").alias("kind"), spelled(F.col("name")).alias("form"))
+    return titles.unionByName(equation_terms(external.select("ext_row", "equation")).select(F.lit("metabolite").alias("kind"), "form"))
+
+
 def _compound_fields(rows: DataFrame) -> DataFrame:
     for e in MASSES:
         rows = rows.withColumn(f"n_{e}", element_count(F.col("formula"), e))
@@ -94,15 +110,14 @@ def _compound_fields(rows: DataFrame) -> DataFrame:
     return rows.withColumn("heavy", F.when(F.col("n_C").isNotNull(), heavy)).withColumn("weight", F.when(~F.coalesce(F.col("formula").rlike("[RX](?![a-z])"), F.lit(False)), by_formula))
 
 
-def match_compounds(metabolites: DataFrame, models: DataFrame, external: DataFrame, references: DataFrame) -> DataFrame:
-    """(model_row, ext_row, confidence) of compounds in the same place of the same organism."""
-    ids, entries = compound_labels(metabolites, references)
+def compound_pairs(metabolites: DataFrame, models: DataFrame, external: DataFrame, ids: DataFrame, near: DataFrame) -> DataFrame:
+    """(a, b, confidence) of compounds that may be the same in the same place of the same organism."""
     mine = metabolites.select("met_row", "model_id", "metabolite_id", "formula", "charge", "compartment").groupBy("met_row").agg(
         *[F.max(c).alias(c) for c in ("model_id", "metabolite_id", "formula", "charge", "compartment")]
     )
     mine = mine.join(models.select("model_id", "organism").distinct(), "model_id").withColumn("base", base_id(F.col("metabolite_id"))).join(ids, "base", "left")
     mine = mine.select(F.col("met_row").alias("row"), "organism", F.lower("compartment").alias("place"), "label", "formula", "charge", F.lit(None).cast("double").alias("mass"))
-    theirs = looked_up(external.withColumn("form", name_form(F.col("title"))), "form", entries, "label")
+    theirs = with_label(external.withColumn("form", name_form(F.col("title"))), "form", near, "label")
     theirs = theirs.select(F.col("ext_row").alias("row"), "organism", place_key(F.col("place")).alias("place"), "label", "formula", "charge", "mass").distinct()
 
     both = mine.withColumn("side", F.lit("a")).unionByName(theirs.withColumn("side", F.lit("b")))
@@ -128,8 +143,7 @@ def match_compounds(metabolites: DataFrame, models: DataFrame, external: DataFra
     scored = x.withColumn("confidence", weighted([(0.55, name), (0.3, formula), (0.1, mass), (0.05, charge)]))
     evidence = F.coalesce(name == 1, formula >= 0.7, mass == 1)
     same_genus = F.coalesce(c("m_genus") == c("e_genus"), F.lit(True))
-    edges = scored.where(evidence & same_genus & (c("confidence") >= CONFIDENT)).select("a", "b", "confidence")
-    return one_to_one(edges).withColumnsRenamed({"a": "model_row", "b": "ext_row"})
+    return scored.where(evidence & same_genus & (c("confidence") >= CONFIDENT)).select("a", "b", "confidence")
 
 
 def equation_terms(external: DataFrame) -> DataFrame:
@@ -160,22 +174,20 @@ def participants(terms: DataFrame, row: str) -> DataFrame:
     return lists.select(F.col(row).alias("row"), F.transform("terms", lambda t: t["label"]).alias("labels"), F.least(F.to_json(amounts), F.to_json(turned)).alias("amounts"), "unknown")
 
 
-def match_reactions(records: DataFrame, stoich: DataFrame, metabolites: DataFrame, models: DataFrame, external: DataFrame, references: DataFrame) -> DataFrame:
-    """(model_row, ext_row, confidence) of reactions of the same organism."""
-    ids, entries = compound_labels(metabolites, references)
+def reaction_pairs(records: DataFrame, stoich: DataFrame, models: DataFrame, external: DataFrame, ids: DataFrame, near: DataFrame) -> DataFrame:
+    """(a, b, confidence) of reactions that may be the same of the same organism."""
     rows = records.groupBy("rxn_row").agg(*[F.max(c).alias(c) for c in ("model_id", "rid", "name")])
     terms = stoich.groupBy("model_id", "rid", "pos").agg(F.max("metabolite_id").alias("metabolite_id"), F.max("coefficient").alias("coefficient"))
     terms = terms.withColumn("base", base_id(F.col("metabolite_id"))).join(ids, "base", "left")
     terms = terms.withColumn("unknown", F.col("base").isNull()).withColumn("label", F.coalesce("label", F.when(~F.col("unknown"), F.xxhash64(name_form(F.col("base"))))))
     mine = rows.join(participants(rows.select("rxn_row", "model_id", "rid").join(terms, ["model_id", "rid"]), "rxn_row"), F.col("rxn_row") == F.col("row"))
     mine = mine.join(models.select("model_id", "organism").distinct(), "model_id").select("row", "organism", "name", "labels", "amounts", "unknown")
-    words = looked_up(equation_terms(external.select("ext_row", "equation").distinct()), "form", entries, "label")
+    words = with_label(equation_terms(external.select("ext_row", "equation").distinct()), "form", near, "label")
     theirs = external.select("ext_row", "organism", F.col("title").alias("name")).distinct().join(participants(words, "ext_row"), F.col("ext_row") == F.col("row"))
     theirs = theirs.select("row", "organism", "name", "labels", "amounts", "unknown")
 
     both = mine.withColumn("side", F.lit("a")).unionByName(theirs.withColumn("side", F.lit("b")))
-    titles = both.where("name is not null").select(F.lit("reaction").alias("kind"), spelled(F.col("name")).alias("form"))
-    near = map_forms(titles, entries_of(references).where("kind = 'reaction'")).select(F.col("form").alias("title"), F.col("ref_id").cast("string").alias("title_ref"))
+    near = near.where("kind = 'reaction'").select(F.col("form").alias("title"), F.col("ref_id").cast("string").alias("title_ref"))
     both = both.withColumn("title", spelled(F.col("name"))).join(near, "title", "left").withColumn("title", F.coalesce("title_ref", "title")).drop("title_ref")
     both = both.withColumn("org", organism_key(F.col("organism"))).withColumn("genus", genus(F.col("organism"))).where("org is not null")
     both = written(both.withColumn("grp", F.xxhash64("org")), "reactions")
@@ -197,5 +209,27 @@ def match_reactions(records: DataFrame, stoich: DataFrame, metabolites: DataFram
     lacking_m, lacking_e = F.size(F.array_except("e_labels", "m_labels")), F.size(F.array_except("m_labels", "e_labels"))
     evidence = (shared == 1) & (amounts == 1) | (shared >= 0.5) & (lacking_m + lacking_e > 0) & (lacking_m <= c("m_unknown") + c("e_unknown")) & (lacking_e <= c("e_unknown"))
     same_genus = F.coalesce(c("m_genus") == c("e_genus"), F.lit(True))
-    edges = scored.where(evidence & same_genus & (c("confidence") >= CONFIDENT)).select("a", "b", "confidence")
-    return one_to_one(edges).withColumnsRenamed({"a": "model_row", "b": "ext_row"})
+    return scored.where(evidence & same_genus & (c("confidence") >= CONFIDENT)).select("a", "b", "confidence")
+
+
+def match_compounds(metabolites: DataFrame, models: DataFrame, external: DataFrame, references: DataFrame) -> DataFrame:
+    """(model_row, ext_row, confidence) of compounds in the same place of the same organism."""
+    ids, entries = compound_labels(metabolites, references)
+    near = near_labels([compound_forms(external)], entries, references)
+    return one_to_one(compound_pairs(metabolites, models, external, ids, near)).withColumnsRenamed({"a": "model_row", "b": "ext_row"})
+
+
+def match_reactions(records: DataFrame, stoich: DataFrame, metabolites: DataFrame, models: DataFrame, external: DataFrame, references: DataFrame) -> DataFrame:
+    """(model_row, ext_row, confidence) of reactions of the same organism."""
+    ids, entries = compound_labels(metabolites, references)
+    near = near_labels([reaction_forms(records, external)], entries, references)
+    return one_to_one(reaction_pairs(records, stoich, models, external, ids, near)).withColumnsRenamed({"a": "model_row", "b": "ext_row"})
+
+
+def match_both(metabolites: DataFrame, records: DataFrame, stoich: DataFrame, models: DataFrame, compounds: DataFrame, reactions: DataFrame, references: DataFrame) -> DataFrame:
+    """(kind, model_row, ext_row, confidence) of both kinds: labels, spellings and assignment in one go."""
+    ids, entries = compound_labels(metabolites, references)
+    near = near_labels([compound_forms(compounds), reaction_forms(records, reactions)], entries, references)
+    pairs = compound_pairs(metabolites, models, compounds, ids, near).withColumn("kind", F.lit("metabolite"))
+    pairs = pairs.unionByName(reaction_pairs(records, stoich, models, reactions, ids, near).withColumn("kind", F.lit("reaction")))
+    return one_to_one(pairs).select("kind", F.col("a").alias("model_row"), F.col("b").alias("ext_row"), "confidence")

@@ -60,16 +60,20 @@ def weighted(parts: list[tuple[float, Column]]) -> Column:
     return F.when(total > 0, value / total)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """`edges` (a, b, confidence) with `component`, the smallest a of the connected component."""
+def components(edges: DataFrame, by: list[str]) -> DataFrame:
+    """`edges` (by, a, b, confidence) with `component`, the smallest a of the connected component. Two steps a round."""
+
+    def spread(now: DataFrame) -> DataFrame:
+        by_b = now.groupBy(*by, "b").agg(F.min("component").alias("low"))
+        by_a = now.join(by_b, [*by, "b"]).groupBy(*by, "a").agg(F.min("low").alias("low"))
+        return now.join(by_a, [*by, "a"]).withColumn("component", F.least("component", "low")).drop("low")
+
     now = written(edges.withColumn("component", F.col("a")), "components")
     while True:
-        by_b = now.groupBy("b").agg(F.min("component").alias("low"))
-        by_a = now.join(by_b, "b").groupBy("a").agg(F.min("low").alias("low"))
-        new = written(now.join(by_a, "a").select("a", "b", "confidence", F.least("component", "low").alias("component")), "components")
-        moved = now.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0] != new.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-        now = new
-        if not moved:
+        old = now.withColumn("before", F.col("component"))
+        new = written(spread(spread(old)), "components")
+        now = new.drop("before")
+        if new.where("component < before").isEmpty():
             return now
 
 
@@ -144,16 +148,18 @@ def best_assignment(a: list[int], b: list[int], confidence: list[float]) -> list
 
 
 def one_to_one(edges: DataFrame) -> DataFrame:
-    """(a, b, confidence): the assignment of `edges` with the greatest total confidence."""
-    edges = written(edges.groupBy("a", "b").agg(F.max("confidence").alias("confidence")), "edges")
-    of_a, of_b = (edges.groupBy(k).agg(F.count("*").alias(f"n_{k}")) for k in ("a", "b"))
-    counted = edges.join(of_a, "a").join(of_b, "b")
-    alone = counted.where("n_a = 1 and n_b = 1").select("a", "b", "confidence")
-    rest = components(counted.where("n_a > 1 or n_b > 1").select("a", "b", "confidence"))
+    """The pairs of `edges` (a, b, confidence and columns that part them, like a kind) that give the greatest total confidence."""
+    by = [c for c in edges.columns if c not in ("a", "b", "confidence")]
+    edges = written(edges.groupBy(*by, "a", "b").agg(F.max("confidence").alias("confidence")), "edges")
+    of_a, of_b = (edges.groupBy(*by, k).agg(F.count("*").alias(f"n_{k}")) for k in ("a", "b"))
+    counted = written(edges.join(of_a, [*by, "a"]).join(of_b, [*by, "b"]), "edges")
+    alone = counted.where("n_a = 1 and n_b = 1").select(*by, "a", "b", "confidence")
+    rest = components(counted.where("n_a > 1 or n_b > 1").select(*by, "a", "b", "confidence"), by)
+    schema = edges.select(*by, "a", "b", "confidence").schema
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["a", "b"])
         keep = best_assignment(rows["a"].tolist(), rows["b"].tolist(), rows["confidence"].tolist())
-        return rows.iloc[keep][["a", "b", "confidence"]]
+        return rows.iloc[keep][[*by, "a", "b", "confidence"]]
 
-    return alone.unionByName(rest.groupBy("component").applyInPandas(solve, "a bigint, b bigint, confidence double"))
+    return alone.unionByName(rest.groupBy(*by, "component").applyInPandas(solve, schema))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reactionloom.llm.bk_tree import map_to_list
-from reactionloom.llm.entities import match_compounds, match_reactions
+from reactionloom.llm.entities import match_both
 from reactionloom.llm.term_counts import TermCounts, changes, count_in_batches
 from reactionloom.sources.tables import table
 
@@ -59,10 +59,8 @@ def p4_matches(spark: SparkSession, folder: str) -> DataFrame:
     t = lambda name, *columns: table(spark, folder, name, *columns)
     compounds = t("metabolites", "met_row", "model_id", "metabolite_id", "name", "formula", "charge", "compartment")
     models, references = t("model_list", "model_id", "organism"), t("name_list")
-    pairs = match_compounds(compounds, models, t("ext_compounds"), references).withColumn("kind", F.lit("metabolite"))
     records, stoich = t("reaction_records", "rxn_row", "model_id", "rid", "name"), t("stoich", "model_id", "rid", "pos", "metabolite_id", "coefficient")
-    reactions = match_reactions(records, stoich, compounds, models, t("ext_reactions"), references).withColumn("kind", F.lit("reaction"))
-    return pairs.unionByName(reactions).select("kind", "model_row", "ext_row", "confidence")
+    return match_both(compounds, records, stoich, models, t("ext_compounds"), t("ext_reactions"), references)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
