@@ -82,7 +82,7 @@ def metric_transform(spark, folder):
 
 
 def _edges(spark, folder):
-    return N.compound_edges(Model(spark, folder).main_pairs)
+    return Model(spark, folder).edges
 
 
 def components(spark, folder):

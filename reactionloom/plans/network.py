@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reactionloom.functions.chemistry import ELEMENTS, HEAVY, SKELETON, millionths, species
 from reactionloom.operators import network as N
 from reactionloom.sources.tables import table
+from reactionloom.storage import written
 
 
 class Model:
@@ -36,6 +37,11 @@ class Model:
     def candidates(self) -> DataFrame:
         return N.candidate_pairs(self.stoich, self.metabolites, self.scores)
 
+    @property
+    def edges(self) -> DataFrame:
+        """The graph of main compounds, written once: what works on it reads it several times."""
+        return written(N.compound_edges(self.main_pairs), "edges")
+
     @property
     def main_pairs(self) -> DataFrame:
         return N.main_pairs(self.candidates)
@@ -99,7 +105,7 @@ def compound_graph(spark, folder):
 
 
 def antiparallel_edges(spark, folder):
-    return N.antiparallel(N.compound_edges(Model(spark, folder).main_pairs))
+    return N.antiparallel(Model(spark, folder).edges)
 
 
 def meta_edges(spark, folder):
@@ -122,7 +128,7 @@ def conversions(spark, folder):
 
 
 def short_cycles(spark, folder):
-    return N.short_cycles(N.compound_edges(Model(spark, folder).main_pairs))
+    return N.short_cycles(Model(spark, folder).edges)
 
 
 def species_copies(spark, folder):
