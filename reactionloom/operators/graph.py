@@ -59,10 +59,19 @@ def neighbourhood(backbone: DataFrame, seeds: DataFrame, radius: int = 1) -> Dat
     return reached.where("node like 'rxn:%'").select("model_id", F.substring("node", 5, 10_000).alias("rid"), (F.col("distance") / 2).cast("int").alias("hops"))
 
 
+def turned(edges: DataFrame) -> DataFrame:
+    """(model_id, u, v, reversed): each line between two nodes once, from the smaller to the greater name, so that none closes a cycle.
+
+    `reversed` where all its edges run the other way. An edge from a node to itself is no line.
+    """
+    return edges.where("u <> v").groupBy("model_id", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.min(F.col("u") > F.col("v")).alias("reversed")).select("model_id", F.col("a").alias("u"), F.col("b").alias("v"), "reversed")
+
+
 def layers(edges: DataFrame) -> DataFrame:
-    """(model_id, node, layer): longest path from a source, over the edges that go up in the order of names (so none closes a cycle)."""
-    dag = written(edges.where("u < v").select("model_id", "u", "v").distinct(), "dag")
-    nodes = dag.select("model_id", F.col("u").alias("node")).union(dag.select("model_id", "v")).distinct()
+    """(model_id, node, layer) of every node that has an edge: longest path from a source, back edges turned round (`turned`)."""
+    edges = written(edges.select("model_id", "u", "v").distinct(), "edges")
+    dag = written(turned(edges).drop("reversed"), "dag")
+    nodes = edges.select("model_id", F.col("u").alias("node")).union(edges.select("model_id", "v")).distinct()
     now = written(nodes.withColumn("layer", F.lit(0)), "layers")
     while True:
         offers = dag.join(now.withColumnRenamed("node", "u"), ["model_id", "u"]).groupBy("model_id", F.col("v").alias("node")).agg((F.max("layer") + 1).alias("offer"))
@@ -73,8 +82,8 @@ def layers(edges: DataFrame) -> DataFrame:
 
 
 def proper_edges(edges: DataFrame, layer: DataFrame) -> DataFrame:
-    """Edges cut at every layer they pass: (model_id, u, v, step, from_layer); a cut point is `u>v@layer`."""
-    dag = edges.where("u < v").select("model_id", "u", "v").distinct()
+    """Edges, back edges turned round, cut at every layer they pass: (model_id, from_layer, a, b); a cut point is `u>v@layer`."""
+    dag = turned(edges).drop("reversed")
     at = lambda node, name: layer.select("model_id", F.col("node").alias(node), F.col("layer").alias(name))
     x = dag.join(at("u", "lu"), ["model_id", "u"]).join(at("v", "lv"), ["model_id", "v"])
     x = x.withColumn("from_layer", F.explode(F.sequence(F.col("lu"), F.col("lv") - 1)))

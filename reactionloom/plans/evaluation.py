@@ -105,12 +105,17 @@ def k_hop(spark, folder):
     return H.neighbourhood(b, m.reactions.where("seq < 3"), 2)
 
 
+def _rising(spark, folder):
+    """The edges that the SQL of the three queries below speaks of: those that go up in the order of names."""
+    return _edges(spark, folder).where("u < v")
+
+
 def layers(spark, folder):
-    return H.layers(_edges(spark, folder))
+    return H.layers(_rising(spark, folder))
 
 
 def proper_layering(spark, folder):
-    e = _edges(spark, folder)
+    e = _rising(spark, folder)
     return H.proper_edges(e, H.layers(e))
 
 
@@ -118,6 +123,19 @@ def layer_crossings(spark, folder):
     return H.layer_crossings(proper_layering(spark, folder))
 
 
+def layers_all(spark, folder):
+    return H.layers(_edges(spark, folder))
+
+
+def proper_layering_all(spark, folder):
+    e = _edges(spark, folder)
+    return H.proper_edges(e, H.layers(e))
+
+
+def layer_crossings_all(spark, folder):
+    return H.layer_crossings(proper_layering_all(spark, folder))
+
+
 def node_places(spark, folder):
     """How many metabolite nodes of each compound stand on each map, with their weighted centre."""
     p = _points(spark, folder).where("x is not null and y is not null")
@@ -132,7 +150,7 @@ def node_lives(spark, folder):
     return all_rows.join(_nodes(spark, folder).groupBy("node_type").agg(F.count("*").alias("n_standing")), "node_type", "left")
 
 
-_NAMES = "agreement pooled_rates chance precision_recall reference_variants percentiles3 ecdf rank_biserial holm ring_cv size_bands metric_transform components bfs_distance hubs k_hop layers proper_layering layer_crossings node_places node_lives"
+_NAMES = "agreement pooled_rates chance precision_recall reference_variants percentiles3 ecdf rank_biserial holm ring_cv size_bands metric_transform components bfs_distance hubs k_hop layers proper_layering layer_crossings layers_all proper_layering_all layer_crossings_all node_places node_lives"
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
 _SP, _PP = _species("main_sub"), _species("main_prod")
@@ -172,6 +190,8 @@ ly AS (SELECT model_id, node, max(d) AS layer FROM pt GROUP BY ALL),
 pe AS (SELECT dg.model_id, dg.u, dg.v, a.layer AS lu, b.layer AS lv, unnest(range(a.layer, b.layer))::INT AS from_layer FROM dg JOIN ly a ON a.model_id = dg.model_id AND a.node = dg.u JOIN ly b ON b.model_id = dg.model_id AND b.node = dg.v),
 pr AS (SELECT model_id, from_layer, CASE WHEN from_layer = lu THEN u ELSE u || '>' || v || '@' || from_layer END AS a, CASE WHEN from_layer + 1 = lv THEN v ELSE u || '>' || v || '@' || (from_layer + 1) END AS b FROM pe),
 """
+#: The same over all edges, back edges turned round.
+LAYERS_ALL = LAYERS.replace("dg AS (SELECT model_id, u, v FROM ce WHERE u < v)", "dg AS (SELECT DISTINCT model_id, least(u, v) AS u, greatest(u, v) AS v FROM ce WHERE u <> v)")
 _END = "done AS (SELECT 1) "
 ORACLE = {
     "agreement": REF + _END + "SELECT * FROM ag",
@@ -199,6 +219,9 @@ SELECT model_id, rid, min(h)::INT AS hops FROM (SELECT *, 0 AS h FROM h0 UNION A
     "layers": LAYERS + _END + "SELECT * FROM ly",
     "proper_layering": LAYERS + _END + "SELECT * FROM pr",
     "layer_crossings": LAYERS + _END + "SELECT model_id, from_layer, count(*) AS n_crossings FROM pr x JOIN pr y USING (model_id, from_layer) WHERE x.a < y.a AND x.b > y.b GROUP BY ALL",
+    "layers_all": LAYERS_ALL + _END + "SELECT * FROM ly",
+    "proper_layering_all": LAYERS_ALL + _END + "SELECT * FROM pr",
+    "layer_crossings_all": LAYERS_ALL + _END + "SELECT model_id, from_layer, count(*) AS n_crossings FROM pr x JOIN pr y USING (model_id, from_layer) WHERE x.a < y.a AND x.b > y.b GROUP BY ALL",
     "node_places": MAPS + "SELECT map_id, bigg_id, count(*) AS n, floor(avg(x) * 100)::BIGINT AS cx, floor(avg(y) * 100)::BIGINT AS cy FROM p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL",
     "node_lives": MAPS + "SELECT node_type, n_rows, n_nodes, n_standing FROM (SELECT node_type, count(*) AS n_rows, count(DISTINCT (map_id, node_id)) AS n_nodes FROM map_nodes GROUP BY ALL) LEFT JOIN (SELECT node_type, count(*) AS n_standing FROM n GROUP BY ALL) USING (node_type)",
 }
