@@ -15,6 +15,8 @@ from reactionloom.operators.orphans import whole_number
 #: Cell sizes, node radius, label metrics and gates of the measures.
 CELL, NEAR_CELL, PITCH = 400.0, 120.0, 180.0
 RADIUS = 20.0
+#: Radius of a drawn node by its type, and of any other. No table says which metabolites are secondary: all count as main ones.
+NODE_RADIUS, OTHER_RADIUS = {"metabolite": 30.0, "midmarker": 11.0, "multimarker": 6.0}, 6.0
 FONT, CHAR_WIDTH, LINE_HEIGHT = 20.0, 0.58, 1.25
 EXTENT = 160.0
 BINS = 20
@@ -153,27 +155,42 @@ def labels_on_nodes(boxes: DataFrame, nodes: DataFrame, radius: float = RADIUS)
     return hit.select("map_id", "node_id").distinct().groupBy("map_id").agg(F.count("*").alias("n_labels"))
 
 
-def node_overlaps(nodes: DataFrame, segs: DataFrame, radius: float = RADIUS) -> DataFrame:
-    """Pairs of nodes closer than two radii that no segment joins."""
-    p = nodes.select("map_id", "node_id", "x", "y")
-    close = near_pairs(p, p, NEAR_CELL).where(F.col("node_id") < F.col("node_id_o")).where(distance2() < 4 * radius * radius)
+def node_radius() -> Column:
+    kind = F.col("node_type")
+    return F.coalesce(*[F.when(kind == k, r) for k, r in NODE_RADIUS.items()], F.lit(OTHER_RADIUS))
+
+
+def node_overlaps(nodes: DataFrame, segs: DataFrame, radius: float | Column = RADIUS) -> DataFrame:
+    """Pairs of nodes closer than the sum of their radii that no segment joins. Two radii are at most NEAR_CELL."""
+    p = nodes.select("map_id", "node_id", "x", "y", F.lit(radius).alias("r"))
+    reach = F.col("r") + F.col("r_o")
+    close = near_pairs(p, p, NEAR_CELL).where(F.col("node_id") < F.col("node_id_o")).where(distance2() < reach * reach)
     joined = segs.select("map_id", F.least("n1", "n2").alias("node_id"), F.greatest("n1", "n2").alias("node_id_o")).distinct()
     return close.join(joined, ["map_id", "node_id", "node_id_o"], "left_anti").select("map_id", F.col("node_id").alias("a"), F.col("node_id_o").alias("b"))
 
 
-def edges_through_nodes(straight: DataFrame, nodes: DataFrame, radius: float = RADIUS) -> DataFrame:
-    """Segments that run through a metabolite they do not end at."""
+def node_owners(segs: DataFrame) -> DataFrame:
+    """(map_id, node_id, rid): the reactions that have a segment, curved or not, at each node."""
+    ends = segs.where("rid is not null").select("map_id", "rid", F.explode(F.array("n1", "n2")).alias("node_id"))
+    return ends.select("map_id", "node_id", "rid").distinct()
+
+
+def edges_through_nodes(straight: DataFrame, nodes: DataFrame, radius: float | Column = RADIUS, owners: DataFrame | None = None) -> DataFrame:
+    """Segments that run through a node they do not end at; given `owners`, nodes of the segment's own reaction are left out."""
     cells = sampled_cells(straight, NEAR_CELL).select("map_id", "seg_id", "n1", "n2", "x1", "y1", "x2", "y2", "cx", "cy")
     around = F.array([F.lit(d) for d in (-1, 0, 1)])
-    spots = nodes.where("node_type = 'metabolite'").select("map_id", "node_id", "x", "y", F.explode(around).alias("dx")).withColumn("dy", F.explode(around))
-    spots = spots.select("map_id", "node_id", "x", "y", (cell(F.col("x"), NEAR_CELL) + F.col("dx")).alias("cx"), (cell(F.col("y"), NEAR_CELL) + F.col("dy")).alias("cy"))
+    spots = nodes.select("map_id", "node_id", "x", "y", F.lit(radius).alias("r"), F.explode(around).alias("dx")).withColumn("dy", F.explode(around))
+    spots = spots.select("map_id", "node_id", "x", "y", "r", (cell(F.col("x"), NEAR_CELL) + F.col("dx")).alias("cx"), (cell(F.col("y"), NEAR_CELL) + F.col("dy")).alias("cy"))
     x = cells.join(spots, ["map_id", "cx", "cy"]).where("node_id <> n1 and node_id <> n2")
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     px, py = F.col("x") - F.col("x1"), F.col("y") - F.col("y1")
-    size = dx * dx + dy * dy
+    size, r = dx * dx + dy * dy, F.col("r")
     along, across = px * dx + py * dy, px * dy - py * dx
-    hit = x.where((size > 0) & (along > 0) & (along < size) & (across * across < radius * radius * size))
-    return hit.select("map_id", "seg_id", "node_id").distinct()
+    hit = x.where((size > 0) & (along > 0) & (along < size) & (across * across < r * r * size)).select("map_id", "seg_id", "node_id").distinct()
+    if owners is None:
+        return hit
+    own = straight.select("map_id", "seg_id", "rid").join(owners, ["map_id", "rid"]).select("map_id", "seg_id", "node_id")
+    return hit.join(own, ["map_id", "seg_id", "node_id"], "left_anti")
 
 
 def collinear_overlaps(straight: DataFrame, tolerance: float = 4.0, shared: float = 12.0) -> DataFrame:

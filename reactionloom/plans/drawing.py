@@ -70,7 +70,16 @@ def node_overlaps(spark, folder):
 
 
 def edge_through_node(spark, folder):
-    return D.edges_through_nodes(_straight(spark, folder), _nodes(spark, folder))
+    return D.edges_through_nodes(_straight(spark, folder), _points(spark, folder))
+
+
+def node_overlaps_all(spark, folder):
+    return D.node_overlaps(_nodes(spark, folder), _segments(spark, folder), D.node_radius())
+
+
+def edge_through_node_all(spark, folder):
+    s = _segments(spark, folder)
+    return D.edges_through_nodes(s.where(~F.col("curved")), _nodes(spark, folder), D.node_radius(), D.node_owners(s))
 
 
 def collinear_overlap(spark, folder):
@@ -110,7 +119,7 @@ def worst_maps(spark, folder):
     return D.worst(D.in_band(D.long_scores(_scores(spark, folder))))
 
 
-_NAMES = "standing_nodes segment_ends axis_aligned segment_crossings longest_run bbox hairball min_separation box_overlaps label_hits node_overlaps edge_through_node collinear_overlap nearest_other cell_clash gap_remap scorecard gate_bands pooled_summary worst_maps"
+_NAMES = "standing_nodes segment_ends axis_aligned segment_crossings longest_run bbox hairball min_separation box_overlaps label_hits node_overlaps edge_through_node node_overlaps_all edge_through_node_all collinear_overlap nearest_other cell_clash gap_remap scorecard gate_bands pooled_summary worst_maps"
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
 _NUMBER = "TRY_CAST(regexp_extract({0}, '^\\s*([+-]?\\d+)(?:\\.0*)?\\s*$', 1) AS BIGINT)"
@@ -149,6 +158,8 @@ _TOUCH = " OR ".join(f"(abs({u[0]} - {v[0]}) < 1e-6 AND abs({u[1]} - {v[1]}) < 1
 _CELLS = """, k AS (SELECT *, unnest(range(0, greatest(1, floor(len / {0}) + 1)::BIGINT + 1)) AS i, greatest(1, floor(len / {0}) + 1) AS steps FROM t),
 cells AS (SELECT DISTINCT map_id, seg_id, n1, n2, x1, y1, x2, y2, floor((x1 + (x2 - x1) * (i / steps)) / {0}) AS cx, floor((y1 + (y2 - y1) * (i / steps)) / {0}) AS cy FROM k)
 """
+_RADII = """, nr AS (SELECT *, CASE node_type WHEN 'metabolite' THEN 30e0 WHEN 'midmarker' THEN 11e0 ELSE 6e0 END AS r FROM n), ow AS (SELECT map_id, n1 AS node_id, rid FROM s UNION SELECT map_id, n2, rid FROM s)
+"""
 
 ORACLE = {
     "standing_nodes": BASE + "SELECT * FROM n",
@@ -170,6 +181,11 @@ SELECT map_id, floor(max(len) * 1000000)::BIGINT AS longest_run, count(*) AS n_r
     "edge_through_node": BASE + """, h AS (SELECT t.map_id, seg_id, node_id, x2 - x1 AS dx, y2 - y1 AS dy, x - x1 AS px, y - y1 AS py FROM t JOIN p ON t.map_id = p.map_id AND node_id <> n1 AND node_id <> n2
   AND x > least(x1, x2) - 20 AND x < greatest(x1, x2) + 20 AND y > least(y1, y2) - 20 AND y < greatest(y1, y2) + 20)
 SELECT map_id, seg_id, node_id FROM h WHERE dx * dx + dy * dy > 0 AND px * dx + py * dy > 0 AND px * dx + py * dy < dx * dx + dy * dy AND (px * dy - py * dx) * (px * dy - py * dx) < 400e0 * (dx * dx + dy * dy)""",
+    "node_overlaps_all": BASE + _RADII + "SELECT a.map_id, a.node_id AS a, b.node_id AS b FROM nr a JOIN nr b ON a.map_id = b.map_id AND a.node_id < b.node_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < (a.r + b.r) * (a.r + b.r) WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.map_id = a.map_id AND least(n1, n2) = a.node_id AND greatest(n1, n2) = b.node_id)",
+    "edge_through_node_all": BASE + _RADII + """, h AS (SELECT t.map_id, seg_id, rid, node_id, r, x2 - x1 AS dx, y2 - y1 AS dy, x - x1 AS px, y - y1 AS py FROM t JOIN nr ON t.map_id = nr.map_id AND node_id <> n1 AND node_id <> n2
+  AND x > least(x1, x2) - 30 AND x < greatest(x1, x2) + 30 AND y > least(y1, y2) - 30 AND y < greatest(y1, y2) + 30)
+SELECT map_id, seg_id, node_id FROM h WHERE dx * dx + dy * dy > 0 AND px * dx + py * dy > 0 AND px * dx + py * dy < dx * dx + dy * dy AND (px * dy - py * dx) * (px * dy - py * dx) < r * r * (dx * dx + dy * dy)
+AND NOT EXISTS (SELECT 1 FROM ow WHERE ow.map_id = h.map_id AND ow.node_id = h.node_id AND ow.rid = h.rid)""",
     "collinear_overlap": BASE + "SELECT a.map_id, a.axis, a.seg_id AS seg_p, b.seg_id AS seg_q FROM axis_ a JOIN axis_ b ON a.map_id = b.map_id AND a.axis = b.axis AND round_even(a.pos / 4e0, 0) = round_even(b.pos / 4e0, 0) AND a.seg_id < b.seg_id WHERE least(a.hi, b.hi) - greatest(a.lo, b.lo) > 12",
     "nearest_other": BASE + """, q AS (SELECT a.map_id, a.node_id, b.node_id AS other, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM p a JOIN p b ON a.map_id = b.map_id AND a.bigg_id <> b.bigg_id)
 SELECT map_id, node_id, other, floor(d2 * 1000000)::BIGINT AS d2 FROM q WHERE d2 <= 32400 QUALIFY row_number() OVER (PARTITION BY map_id, node_id ORDER BY d2, other) = 1""",

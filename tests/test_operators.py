@@ -91,6 +91,17 @@ def test_node_overlaps_against_all_pairs(spark):
     assert got == want
 
 
+def test_every_node_has_its_radius(spark):
+    kinds = [(0, "metabolite", 0, 0), (1, "metabolite", 1000, 0), (2, "metabolite", 300, 25), (3, "midmarker", 500, 10), (4, "midmarker", 600, 12), (5, "multimarker", 700, 5), (6, "multimarker", 800, 7), (7, "midmarker", 400, 0), (8, "metabolite", 340, 60)]
+    nodes = spark.createDataFrame([(1, i, k, float(x), float(y)) for i, k, x, y in kinds], "map_id long, node_id long, node_type string, x double, y double")
+    rows = [(1, 1, "a", 0, 1, False, 0.0, 0.0, 1000.0, 0.0), (1, 2, "a", 7, 8, True, 400.0, 0.0, 340.0, 60.0)]
+    segs = spark.createDataFrame(rows, "map_id long, seg_id long, rid string, n1 long, n2 long, curved boolean, x1 double, y1 double, x2 double, y2 double")
+    straight = segs.where(~F.col("curved"))
+    hit = lambda owners: sorted(r["node_id"] for r in D.edges_through_nodes(straight, nodes, D.node_radius(), owners).collect())
+    assert hit(None) == [2, 3, 5, 7] and hit(D.node_owners(segs)) == [2, 3, 5]
+    assert [(r["a"], r["b"]) for r in D.node_overlaps(nodes, segs, D.node_radius()).collect()] == [(2, 8)]
+
+
 def test_statistics(spark):
     pairs = spark.createDataFrame([("g", a, b) for a, b in [(5, 1), (4, 2), (3, 3), (1, 3), (9, 1), (7, 6), (2, 1)]], "g string, a int, b int")
     r = E.rank_biserial(E.signed_ranks(pairs, "g", "a", "b"), "g").first()
