@@ -6,6 +6,8 @@ the same map is compared, each pair once. Extents and histograms are plain aggre
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -21,6 +23,13 @@ FONT, CHAR_WIDTH, LINE_HEIGHT = 20.0, 0.58, 1.25
 EXTENT = 160.0
 BINS = 20
 GATES = {"axis_aligned": (0.9, None), "hairball_index": (None, 3.0), "aspect_ratio": (0.5, 2.0), "min_separation_ratio": (0.5, None)}
+#: Gates of the whole scorecard. Occupancy is not among them: no table has the size of a canvas.
+TARGETS = {
+    "axis_aligned": (0.9, None), "crossings_per_edge": (None, 0.05), "longest_run_ratio": (0.15, None), "min_separation_ratio": (1.0, None), "label_overlaps": (None, 0.0),
+    "label_on_node": (None, 0.0), "label_on_edge": (None, 0.0), "hairball_index": (None, 3.0), "aspect_ratio": (0.35, 3.0),
+}
+#: What two labels may overlap by, and how far a label has to keep from a metabolite and from a marker.
+TOLERANCE, LABEL_RADIUS, MARKER_RADIUS = 3.0, 34.0, 11.0
 
 
 def cell(x: Column, size: float) -> Column:
@@ -35,7 +44,7 @@ def standing_nodes(nodes: DataFrame) -> DataFrame:
 
 def segments(segs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Segments between two standing nodes with their end points; `curved` where a control point is set."""
-    rows = segs.select("map_id", "seg_id", "rid", whole_number(F.col("from_node_id")).alias("n1"), whole_number(F.col("to_node_id")).alias("n2"), (F.col("b1").isNotNull() | F.col("b2").isNotNull()).alias("curved")).dropDuplicates(["seg_id"])
+    rows = segs.select("map_id", "seg_id", "rid", whole_number(F.col("from_node_id")).alias("n1"), whole_number(F.col("to_node_id")).alias("n2"), (F.col("b1").isNotNull() | F.col("b2").isNotNull()).alias("curved"), "b1", "b2").dropDuplicates(["seg_id"])
     end = lambda i: nodes.select("map_id", F.col("node_id").alias(f"n{i}"), F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}"))
     return rows.join(end(1), ["map_id", "n1"]).join(end(2), ["map_id", "n2"])
 
@@ -60,6 +69,17 @@ def sampled_cells(straight: DataFrame, size: float = CELL) -> DataFrame:
     return k.select("map_id", "seg_id", "n1", "n2", "x1", "y1", "x2", "y2", at("x1", "x2").alias("cx"), at("y1", "y2").alias("cy")).distinct()
 
 
+def passed_cells(straight: DataFrame, size: float = CELL) -> DataFrame:
+    """`straight` with (cx, cy): every cell that a segment passes, by the rows it covers in each column of cells."""
+    left, right = F.least("x1", "x2"), F.greatest("x1", "x2")
+    k = straight.withColumn("cx", F.explode(F.sequence(cell(left, size), cell(right, size))))
+    y = lambda x: F.when(F.col("x1") == F.col("x2"), None).otherwise(F.col("y1") + (F.col("y2") - F.col("y1")) * ((x - F.col("x1")) / (F.col("x2") - F.col("x1"))))
+    a, b = y(F.greatest(left, F.col("cx") * size)), y(F.least(right, (F.col("cx") + 1) * size))
+    # The margin is for rounding: a cell too many is harmless.
+    lo, hi = F.coalesce(F.least(a, b), F.least("y1", "y2")) - 1e-6, F.coalesce(F.greatest(a, b), F.greatest("y1", "y2")) + 1e-6
+    return k.withColumn("cy", F.explode(F.sequence(cell(lo, size), cell(hi, size))))
+
+
 def _turn(a: str, b: str, c: str) -> Column:
     """Which side of the line a-b the point c lies on; points are columns like `x1p`."""
     n = lambda axis, p: F.col(f"{axis}{p}")
@@ -145,16 +165,42 @@ def box_overlaps(boxes: DataFrame, size: float = CELL) -> DataFrame:
     return pairs.select("map_id", "node_id_p", "node_id_q").distinct().groupBy("map_id").agg(F.count("*").alias("n_overlaps"))
 
 
-def labels_on_nodes(boxes: DataFrame, nodes: DataFrame, radius: float = RADIUS) -> DataFrame:
-    """Labels that cover another node; each label counts once."""
-    grow = boxes.select("map_id", "node_id", *[(F.col(c) + d).alias(c) for c, d in (("left", -radius), ("top", -radius), ("right", radius), ("bottom", radius))])
-    span = lambda a, b: F.explode(F.sequence(cell(F.col(a), CELL), cell(F.col(b), CELL)))
-    placed = grow.withColumn("cx", span("left", "right")).withColumn("cy", span("top", "bottom"))
-    spots = nodes.select("map_id", F.col("node_id").alias("other"), "x", "y", cell(F.col("x"), CELL).alias("cx"), cell(F.col("y"), CELL).alias("cy"))
-    hit = placed.join(spots, ["map_id", "cx", "cy"]).where("other <> node_id and x > left and x < right and y > top and y < bottom")
+def labels_on_nodes(boxes: DataFrame, nodes: DataFrame, radius: float | Column = RADIUS, most: float = RADIUS) -> DataFrame:
+    """Labels that cover another node; each label counts once. `most`: the largest radius."""
+    span = lambda a, b: F.explode(F.sequence(cell(F.col(a) - most, CELL), cell(F.col(b) + most, CELL)))
+    placed = boxes.withColumn("cx", span("left", "right")).withColumn("cy", span("top", "bottom"))
+    spots = nodes.select("map_id", F.col("node_id").alias("other"), "x", "y", F.lit(radius).alias("r"), cell(F.col("x"), CELL).alias("cx"), cell(F.col("y"), CELL).alias("cy"))
+    hit = placed.join(spots, ["map_id", "cx", "cy"]).where("other <> node_id and x > left - r and x < right + r and y > top - r and y < bottom + r")
     return hit.select("map_id", "node_id").distinct().groupBy("map_id").agg(F.count("*").alias("n_labels"))
 
 
+def ink(segs: DataFrame, steps: int = 10) -> DataFrame:
+    """(map_id, n1, n2, x1, y1, x2, y2): segments as straight pieces; those with both control points in `steps` pieces."""
+    t = lambda i: i / F.lit(float(steps))
+    on = lambda a, i: F.pow(1 - t(i), F.lit(3.0)) * F.col(f"{a}1") + 3 * (1 - t(i)) * (1 - t(i)) * t(i) * F.col(f"b1.{a}") + 3 * (1 - t(i)) * t(i) * t(i) * F.col(f"b2.{a}") + F.pow(t(i), F.lit(3.0)) * F.col(f"{a}2")
+    piece = lambda i: F.struct(on("x", i).alias("x1"), on("y", i).alias("y1"), on("x", i + 1).alias("x2"), on("y", i + 1).alias("y2"))
+    bent = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), piece)
+    line = F.array(F.struct("x1", "y1", "x2", "y2"))
+    pieces = segs.select("map_id", "n1", "n2", F.explode(F.when(F.col("b1").isNotNull() & F.col("b2").isNotNull(), bent).otherwise(line)).alias("p"))
+    return pieces.select("map_id", "n1", "n2", "p.*").where("x1 is not null and y1 is not null and x2 is not null and y2 is not null")
+
+
+def labels_on_edges(boxes: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Labels that a piece of a segment runs through or touches, counted by map; each label counts once.
+
+    Segments at the label's own node are left out: the box starts at the node, so they would always touch it.
+    """
+    span = lambda a, b: F.explode(F.sequence(cell(F.col(a), CELL), cell(F.col(b), CELL)))
+    placed = boxes.withColumn("cx", span("left", "right")).withColumn("cy", span("top", "bottom"))
+    x = placed.join(passed_cells(pieces), ["map_id", "cx", "cy"]).where("node_id <> n1 and node_id <> n2")
+    # A segment meets a box if their extents meet and the corners are not all on one side of the line.
+    side = lambda a, b: (F.col("x2") - F.col("x1")) * (F.col(b) - F.col("y1")) - (F.col("y2") - F.col("y1")) * (F.col(a) - F.col("x1"))
+    corners = [side(a, b) for a in ("left", "right") for b in ("top", "bottom")]
+    meets = "greatest(x1, x2) >= left and least(x1, x2) <= right and greatest(y1, y2) >= top and least(y1, y2) <= bottom"
+    hit = x.where(meets).where((F.least(*corners) <= 0) & (F.greatest(*corners) >= 0))
+    return hit.select("map_id", "node_id").distinct().groupBy("map_id").agg(F.count("*").alias("n_on_edges"))
+
+
 def node_radius() -> Column:
     kind = F.col("node_type")
     return F.coalesce(*[F.when(kind == k, r) for k, r in NODE_RADIUS.items()], F.lit(OTHER_RADIUS))
@@ -236,9 +282,24 @@ def scorecard(nodes: DataFrame, segs: DataFrame) -> DataFrame:
     return out.join(axis_aligned(straight), "map_id", "left").select("map_id", "n_points", "aspect_ratio", "hairball_index", "min_separation_ratio", F.coalesce(share, F.lit(1.0)).alias("axis_aligned"))
 
 
-def long_scores(scores: DataFrame) -> DataFrame:
+def whole_scorecard(nodes: DataFrame, segs: DataFrame) -> DataFrame:
+    """`scorecard` with crossings, runs and labels: all of TARGETS; 0 for maps without any."""
+    points, straight = nodes.where("node_type = 'metabolite'"), segs.where(~F.col("curved"))
+    boxes = label_boxes(points, "bigg_id")
+    inner = boxes.select("map_id", "node_id", *[(F.col(c) + d).alias(c) for c, d in (("left", TOLERANCE), ("top", TOLERANCE), ("right", -TOLERANCE), ("bottom", -TOLERANCE))])
+    keep_off = F.when(F.col("node_type") == "metabolite", LABEL_RADIUS).otherwise(MARKER_RADIUS)
+    out = scorecard(nodes, segs).join(straight.groupBy("map_id").agg(F.count("*").alias("n_segments"), F.sum(length()).alias("total")), "map_id", "left")
+    for part in (crossings(straight), longest_run(straight), box_overlaps(inner), labels_on_nodes(boxes, nodes, keep_off, LABEL_RADIUS), labels_on_edges(boxes, ink(segs))):
+        out = out.join(part, "map_id", "left")
+    over = lambda a, b: F.coalesce(F.when(F.col(b) > 0, F.col(a) / F.col(b)), F.lit(0.0))
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
+    added = {"crossings_per_edge": over("n_crossings", "n_segments"), "longest_run_ratio": over("longest_run", "total"), "label_overlaps": count("n_overlaps"), "label_on_node": count("n_labels"), "label_on_edge": count("n_on_edges")}
+    return out.withColumns(added).select("map_id", "n_points", *TARGETS)
+
+
+def long_scores(scores: DataFrame, metrics: Iterable[str] = GATES) -> DataFrame:
     """(map_id, metric, value) of a scorecard."""
-    return scores.unpivot(["map_id"], list(GATES), "metric", "value")
+    return scores.unpivot(["map_id"], list(metrics), "metric", "value")
 
 
 def in_band(scores: DataFrame, gates: dict[str, tuple[float | None, float | None]] = GATES) -> DataFrame:

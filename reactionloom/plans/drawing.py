@@ -119,7 +119,32 @@ def worst_maps(spark, folder):
     return D.worst(D.in_band(D.long_scores(_scores(spark, folder))))
 
 
-_NAMES = "standing_nodes segment_ends axis_aligned segment_crossings longest_run bbox hairball min_separation box_overlaps label_hits node_overlaps edge_through_node node_overlaps_all edge_through_node_all collinear_overlap nearest_other cell_clash gap_remap scorecard gate_bands pooled_summary worst_maps"
+def _whole(spark, folder):
+    return D.whole_scorecard(_nodes(spark, folder), _segments(spark, folder))
+
+
+def _whole_bands(spark, folder):
+    return D.in_band(D.long_scores(_whole(spark, folder), D.TARGETS), D.TARGETS)
+
+
+def scorecard_all(spark, folder):
+    return _whole(spark, folder).select("map_id", "n_points", *[millionths(F.col(c)).alias(c) for c in D.TARGETS])
+
+
+def gate_bands_all(spark, folder):
+    return _whole_bands(spark, folder).select("map_id", "metric", "within")
+
+
+def pooled_summary_all(spark, folder):
+    s = D.summary(_whole_bands(spark, folder))
+    return s.select("metric", "n", *[F.floor(F.col(c) * 1000).cast("bigint").alias(c) for c in ("median", "p10", "p90", "share_within")])
+
+
+def worst_maps_all(spark, folder):
+    return D.worst(_whole_bands(spark, folder))
+
+
+_NAMES = "standing_nodes segment_ends axis_aligned segment_crossings longest_run bbox hairball min_separation box_overlaps label_hits node_overlaps edge_through_node node_overlaps_all edge_through_node_all collinear_overlap nearest_other cell_clash gap_remap scorecard gate_bands pooled_summary worst_maps scorecard_all gate_bands_all pooled_summary_all worst_maps_all"
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
 _NUMBER = "TRY_CAST(regexp_extract({0}, '^\\s*([+-]?\\d+)(?:\\.0*)?\\s*$', 1) AS BIGINT)"
@@ -160,6 +185,31 @@ cells AS (SELECT DISTINCT map_id, seg_id, n1, n2, x1, y1, x2, y2, floor((x1 + (x
 """
 _RADII = """, nr AS (SELECT *, CASE node_type WHEN 'metabolite' THEN 30e0 WHEN 'midmarker' THEN 11e0 ELSE 6e0 END AS r FROM n), ow AS (SELECT map_id, n1 AS node_id, rid FROM s UNION SELECT map_id, n2, rid FROM s)
 """
+#: The whole scorecard, every pair of a map compared; a box and a segment by clipping.
+WHOLE = BASE + _CELLS.format("400e0") + f""", cr AS (SELECT map_id, count(*) AS n_crossings FROM (SELECT DISTINCT a.map_id, a.seg_id, b.seg_id AS other FROM cells a JOIN cells b ON a.map_id = b.map_id AND a.cx = b.cx AND a.cy = b.cy AND a.seg_id < b.seg_id
+WHERE NOT ({_TOUCH}) AND {_turn(_P1, _P2, _Q1)} <> {_turn(_P1, _P2, _Q2)} AND {_turn(_Q1, _Q2, _P1)} <> {_turn(_Q1, _Q2, _P2)}) GROUP BY ALL),
+sp AS (SELECT map_id, axis || round_even(pos, 0)::BIGINT AS line, lo, hi FROM axis_ WHERE axis IS NOT NULL),
+rc AS (SELECT *, max(hi) OVER (PARTITION BY map_id, line ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sp),
+ru AS (SELECT *, sum(CASE WHEN lo <= reach + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY map_id, line ORDER BY lo, hi) AS run FROM rc),
+lr AS (SELECT map_id, max(l) AS longest FROM (SELECT map_id, max(hi) - min(lo) AS l FROM ru GROUP BY map_id, line, run) GROUP BY map_id),
+tl AS (SELECT map_id, count(*) AS n_segments, sum(len) AS total FROM t GROUP BY map_id),
+lo AS (SELECT a.map_id, count(*) AS n FROM lb a JOIN lb b ON a.map_id = b.map_id AND a.node_id < b.node_id AND a.r - 3e0 > b.l + 3e0 AND a.l + 3e0 < b.r - 3e0 AND a.b - 3e0 > b.t + 3e0 AND a.t + 3e0 < b.b - 3e0 GROUP BY ALL),
+nr34 AS (SELECT *, CASE WHEN node_type = 'metabolite' THEN 34e0 ELSE 11e0 END AS q FROM n),
+ln_ AS (SELECT map_id, count(*) AS n FROM (SELECT DISTINCT a.map_id, a.node_id FROM lb a JOIN nr34 o ON a.map_id = o.map_id AND a.node_id <> o.node_id AND o.x > a.l - q AND o.x < a.r + q AND o.y > a.t - q AND o.y < a.b + q) GROUP BY ALL),
+bz AS (SELECT DISTINCT s.*, m.b1, m.b2 FROM s JOIN map_segments m ON m.map_id = s.map_id AND m.seg_id = s.seg_id),
+pk AS (SELECT *, unnest(range(0, 10)) AS i FROM bz WHERE b1 IS NOT NULL AND b2 IS NOT NULL),
+pc AS (SELECT map_id, n1, n2, x1, y1, x2, y2 FROM bz WHERE b1 IS NULL OR b2 IS NULL
+  UNION ALL SELECT map_id, n1, n2, {', '.join(f"pow(1 - (i + {d}) / 10e0, 3) * {a}1 + 3 * pow(1 - (i + {d}) / 10e0, 2) * ((i + {d}) / 10e0) * b1.{a} + 3 * (1 - (i + {d}) / 10e0) * pow((i + {d}) / 10e0, 2) * b2.{a} + pow((i + {d}) / 10e0, 3) * {a}2" for d in (0, 1) for a in 'xy')} FROM pk),
+cl AS (SELECT a.map_id, a.node_id, l, r, t, b, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy FROM lb a JOIN pc ON a.map_id = pc.map_id AND node_id <> n1 AND node_id <> n2 AND greatest(x1, x2) >= l AND least(x1, x2) <= r AND greatest(y1, y2) >= t AND least(y1, y2) <= b),
+le AS (SELECT map_id, count(DISTINCT node_id) AS n FROM cl WHERE greatest(0e0, CASE WHEN dx = 0 THEN 0e0 ELSE least((l - x1) / dx, (r - x1) / dx) END, CASE WHEN dy = 0 THEN 0e0 ELSE least((t - y1) / dy, (b - y1) / dy) END)
+  <= least(1e0, CASE WHEN dx = 0 THEN 1e0 ELSE greatest((l - x1) / dx, (r - x1) / dx) END, CASE WHEN dy = 0 THEN 1e0 ELSE greatest((t - y1) / dy, (b - y1) / dy) END) GROUP BY map_id),
+whole AS (SELECT card.*, coalesce(n_crossings / n_segments::DOUBLE, 0e0) AS crossings_per_edge, coalesce(CASE WHEN total > 0 THEN longest / total END, 0e0) AS longest_run_ratio,
+  coalesce(lo.n, 0)::DOUBLE AS label_overlaps, coalesce(ln_.n, 0)::DOUBLE AS label_on_node, coalesce(le.n, 0)::DOUBLE AS label_on_edge
+  FROM card LEFT JOIN tl USING (map_id) LEFT JOIN cr USING (map_id) LEFT JOIN lr USING (map_id) LEFT JOIN lo USING (map_id) LEFT JOIN ln_ USING (map_id) LEFT JOIN le USING (map_id)),
+wl AS ({' UNION ALL '.join(f"SELECT map_id, n_points, '{c}' AS metric, {c} AS value FROM whole" for c in D.TARGETS)}),
+wb AS (SELECT *, CASE metric WHEN 'axis_aligned' THEN value >= 0.9 WHEN 'crossings_per_edge' THEN value <= 0.05 WHEN 'longest_run_ratio' THEN value >= 0.15 WHEN 'min_separation_ratio' THEN value >= 1
+  WHEN 'hairball_index' THEN value <= 3 WHEN 'aspect_ratio' THEN value >= 0.35 AND value <= 3 ELSE value <= 0 END AS within_ FROM wl)
+"""
 
 ORACLE = {
     "standing_nodes": BASE + "SELECT * FROM n",
@@ -196,4 +246,8 @@ SELECT map_id, x, round_even(sum(e) OVER (PARTITION BY map_id ORDER BY x ROWS UN
     "gate_bands": BASE + 'SELECT map_id, metric, within_ AS "within" FROM band',
     "pooled_summary": BASE + "SELECT metric, count(*) AS n, floor(quantile_cont(value, 0.5) * 1000)::BIGINT AS median, floor(quantile_cont(value, 0.1) * 1000)::BIGINT AS p10, floor(quantile_cont(value, 0.9) * 1000)::BIGINT AS p90, floor(avg(within_::INT) * 1000)::BIGINT AS share_within FROM band GROUP BY metric",
     "worst_maps": BASE + "SELECT map_id, sum((NOT within_)::INT)::BIGINT AS n_failed FROM band GROUP BY map_id ORDER BY n_failed DESC, map_id LIMIT 20",
+    "scorecard_all": WHOLE + "SELECT map_id, n_points, " + ", ".join(f"floor({c} * 1000000)::BIGINT AS {c}" for c in D.TARGETS) + " FROM whole",
+    "gate_bands_all": WHOLE + 'SELECT map_id, metric, within_ AS "within" FROM wb',
+    "pooled_summary_all": WHOLE + "SELECT metric, count(*) AS n, floor(quantile_cont(value, 0.5) * 1000)::BIGINT AS median, floor(quantile_cont(value, 0.1) * 1000)::BIGINT AS p10, floor(quantile_cont(value, 0.9) * 1000)::BIGINT AS p90, floor(avg(within_::INT) * 1000)::BIGINT AS share_within FROM wb GROUP BY metric",
+    "worst_maps_all": WHOLE + "SELECT map_id, sum((NOT within_)::INT)::BIGINT AS n_failed FROM wb GROUP BY map_id ORDER BY n_failed DESC, map_id LIMIT 20",
 }

@@ -10,7 +10,8 @@ from reactionloom.operators import evaluation as E
 from reactionloom.operators import graph as H
 from reactionloom.operators import network as N
 from reactionloom.plans.drawing import BASE as MAPS
-from reactionloom.plans.drawing import _nodes, _points, _scores, _segments
+from reactionloom.plans.drawing import WHOLE
+from reactionloom.plans.drawing import _nodes, _points, _scores, _segments, _whole
 from reactionloom.plans.network import PAIRS, Model, _species
 
 
@@ -81,6 +82,22 @@ def metric_transform(spark, folder):
     return s.select("map_id", "metric", F.floor(E.transformed(F.col("metric"), F.col("value")) * 1000).cast("bigint").alias("cost"))
 
 
+def _whole_long(spark, folder):
+    return D.long_scores(_whole(spark, folder), D.TARGETS)
+
+
+def size_bands_all(spark, folder):
+    s = _whole(spark, folder)
+    long = D.long_scores(s, D.TARGETS).join(s.select("map_id", "n_points"), "map_id")
+    return E.size_bands(long).withColumn("median", F.floor(F.col("median") * 1000).cast("bigint"))
+
+
+def metric_transform_all(spark, folder):
+    # Of the measures added to these, only longest_run_ratio has a gate from below; the others are costs as they are.
+    cost = F.when(F.col("metric").isin("crossings_per_edge", "label_overlaps", "label_on_node", "label_on_edge"), F.col("value")).otherwise(E.transformed(F.col("metric"), F.col("value")))
+    return _whole_long(spark, folder).select("map_id", "metric", F.floor(cost * 1000).cast("bigint").alias("cost"))
+
+
 def _edges(spark, folder):
     return Model(spark, folder).edges
 
@@ -150,7 +167,7 @@ def node_lives(spark, folder):
     return all_rows.join(_nodes(spark, folder).groupBy("node_type").agg(F.count("*").alias("n_standing")), "node_type", "left")
 
 
-_NAMES = "agreement pooled_rates chance precision_recall reference_variants percentiles3 ecdf rank_biserial holm ring_cv size_bands metric_transform components bfs_distance hubs k_hop layers proper_layering layer_crossings layers_all proper_layering_all layer_crossings_all node_places node_lives"
+_NAMES = "agreement pooled_rates chance precision_recall reference_variants percentiles3 ecdf rank_biserial holm ring_cv size_bands metric_transform size_bands_all metric_transform_all components bfs_distance hubs k_hop layers proper_layering layer_crossings layers_all proper_layering_all layer_crossings_all node_places node_lives"
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
 _SP, _PP = _species("main_sub"), _species("main_prod")
@@ -216,6 +233,8 @@ SELECT map_id, rid, max(n) AS n, CASE WHEN max(n) >= 3 THEN floor(stddev_pop(r)
 h1 AS (SELECT DISTINCT b.model_id, b.rid FROM h0 JOIN bb a USING (model_id, rid) JOIN bb b ON b.model_id = a.model_id AND b.metabolite_id = a.metabolite_id),
 h2 AS (SELECT DISTINCT b.model_id, b.rid FROM h1 JOIN bb a USING (model_id, rid) JOIN bb b ON b.model_id = a.model_id AND b.metabolite_id = a.metabolite_id)
 SELECT model_id, rid, min(h)::INT AS hops FROM (SELECT *, 0 AS h FROM h0 UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2) GROUP BY model_id, rid""",
+    "size_bands_all": WHOLE + "SELECT CASE WHEN n_points < 10 THEN 'small' WHEN n_points < 50 THEN 'middle' ELSE 'large' END AS band, metric, floor(quantile_cont(value, 0.5) * 1000)::BIGINT AS median, count(*) AS n FROM wl GROUP BY ALL",
+    "metric_transform_all": WHOLE + "SELECT map_id, metric, floor(CASE WHEN metric = 'aspect_ratio' THEN abs(ln(value)) WHEN metric = 'hairball_index' THEN greatest(value - 3e0, 0e0) WHEN metric LIKE 'label%' OR metric = 'crossings_per_edge' THEN value ELSE -value END * 1000)::BIGINT AS cost FROM wl",
     "layers": LAYERS + _END + "SELECT * FROM ly",
     "proper_layering": LAYERS + _END + "SELECT * FROM pr",
     "layer_crossings": LAYERS + _END + "SELECT model_id, from_layer, count(*) AS n_crossings FROM pr x JOIN pr y USING (model_id, from_layer) WHERE x.a < y.a AND x.b > y.b GROUP BY ALL",

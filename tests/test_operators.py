@@ -102,6 +102,16 @@ def test_every_node_has_its_radius(spark):
     assert [(r["a"], r["b"]) for r in D.node_overlaps(nodes, segs, D.node_radius()).collect()] == [(2, 8)]
 
 
+def test_a_map_that_fails_on_crossings_and_labels(spark):
+    nodes = square(spark, [(0, 0), (1000, 1000), (0, 1000), (1000, 0), (510, 500), (525, 500)])
+    rows = [(1, 1, "a", "0", "1", None, None), (1, 2, "b", "2", "3", None, None)]
+    raw = spark.createDataFrame(rows, "map_id long, seg_id long, rid string, from_node_id string, to_node_id string, b1 struct<x:double,y:double>, b2 struct<x:double,y:double>")
+    card = D.whole_scorecard(nodes, D.segments(raw, nodes)).first()
+    assert {c: card[c] for c in ("crossings_per_edge", "longest_run_ratio", "label_overlaps", "label_on_node", "label_on_edge")} == {"crossings_per_edge": 0.5, "longest_run_ratio": 0.0, "label_overlaps": 1.0, "label_on_node": 2.0, "label_on_edge": 1.0}
+    failed = {r["metric"] for r in D.in_band(D.long_scores(D.whole_scorecard(nodes, D.segments(raw, nodes)), D.TARGETS), D.TARGETS).collect() if not r["within"]}
+    assert {"crossings_per_edge", "label_overlaps", "label_on_node", "label_on_edge", "min_separation_ratio"} <= failed
+
+
 def test_statistics(spark):
     pairs = spark.createDataFrame([("g", a, b) for a, b in [(5, 1), (4, 2), (3, 3), (1, 3), (9, 1), (7, 6), (2, 1)]], "g string, a int, b int")
     r = E.rank_biserial(E.signed_ranks(pairs, "g", "a", "b"), "g").first()
