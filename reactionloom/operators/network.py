@@ -6,11 +6,14 @@ by reaction or by metabolite, never by a whole model except where ranks within a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from reactionloom.functions.chemistry import ELEMENTS, atoms, compartment, moiety_score, species
+from reactionloom.storage import written
 
 #: Compounds that count as currency whatever their degree, and those never drawn as a main compound (fixed values).
 CURATED = ("atp", "adp", "nad", "nadh", "coa", "h2o", "h", "pi", "co2", "nh4")
@@ -18,6 +21,8 @@ NEVER_PRIMARY = ("h2o", "h", "atp", "adp", "nad", "nadh", "coa", "pi")
 SUPPRESSED = ("h2o", "h")
 CUTOFF = 0.5
 DAMPING = 0.88
+#: Longest ring that is looked for.
+MOST_RING = 14
 REACTION = ["model_id", "rid"]
 METABOLITE = ["model_id", "metabolite_id"]
 
@@ -210,3 +215,31 @@ def short_cycles(edges: DataFrame) -> DataFrame:
     three = closing(two, "n3").select("model_id", F.concat_ws(" ", "n1", "n2", "n3").alias("cycle"), F.lit(3).alias("size"))
     longer = step(two, "n3", "n4").where("n4 > n1 and n4 <> n2 and n4 <> n3")
     return three.unionByName(closing(longer, "n4").select("model_id", F.concat_ws(" ", "n1", "n2", "n3", "n4").alias("cycle"), F.lit(4).alias("size")))
+
+
+def rings(edges: DataFrame, most: int = MOST_RING) -> DataFrame:
+    """Directed simple cycles of three to `most` compounds, each once, starting at its smallest compound.
+
+    First the fewest steps from each compound back to each smaller start, through compounds above the start. Then paths grow
+    one edge a round, only where that leaves a way back within `most`. Each round of both is a written table.
+    """
+    e = written(edges.select("model_id", "u", "v").where("u <> v").distinct(), "edges")
+    key = ["model_id", "start", "node"]
+    frontier = back = written(e.where("u > v").select("model_id", F.col("v").alias("start"), F.col("u").alias("node"), F.lit(1).alias("steps")), "back")
+    for steps in range(2, most):
+        found = frontier.drop("steps").join(e.select("model_id", F.col("v").alias("node"), "u"), ["model_id", "node"]).where("u > start").select("model_id", "start", F.col("u").alias("node")).distinct()
+        frontier = written(found.join(back, key, "left_anti").withColumn("steps", F.lit(steps)), "frontier")
+        if frontier.isEmpty():
+            break
+        back = back.unionByName(frontier)
+    back = written(back, "back")
+    pair = e.where("u < v").select("model_id", F.col("u").alias("start"), F.col("v").alias("node"), F.array("u", "v").alias("path"))
+    paths, closed = written(pair.join(back, key), "paths"), []
+    for size in range(3, most + 1):
+        further = paths.drop("steps").join(e.select("model_id", F.col("u").alias("node"), "v"), ["model_id", "node"]).where("v > start and not array_contains(path, v)")
+        grown = further.select("model_id", "start", F.col("v").alias("node"), F.concat("path", F.array("v")).alias("path")).join(back, key)
+        paths = written(grown.where(F.col("steps") <= most - size + 1), "paths")
+        closed.append(paths.where("steps = 1").select("model_id", F.array_join("path", " ").alias("cycle"), F.lit(size).alias("size")))
+        if paths.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, closed)

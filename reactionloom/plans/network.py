@@ -131,6 +131,10 @@ def short_cycles(spark, folder):
     return N.short_cycles(Model(spark, folder).edges)
 
 
+def short_cycles_all(spark, folder):
+    return N.rings(Model(spark, folder).edges)
+
+
 def species_copies(spark, folder):
     x = Model(spark, folder).metabolites.withColumn("species", species(F.col("metabolite_id")))
     return x.groupBy("species").agg(F.countDistinct("model_id").alias("n_models"), F.countDistinct("compartment").alias("n_places"), F.count("*").alias("n_rows"))
@@ -147,7 +151,7 @@ def used_models(spark, folder):
     return table(spark, folder, "model_list", "model_id", "grade").join(table(spark, folder, "reaction_records", "model_id"), "model_id", "left_semi")
 
 
-_NAMES = "main_pair moiety_pairs near_tie_alternates stoich_long signed_split degree cofactor_score currency_filter boundary_flag transport_flag reversible_flag formula_counts compound_graph antiparallel_edges meta_edges shared_metabolites select_links conversions short_cycles species_copies orphan_metabolites used_models"
+_NAMES = "main_pair moiety_pairs near_tie_alternates stoich_long signed_split degree cofactor_score currency_filter boundary_flag transport_flag reversible_flag formula_counts compound_graph antiparallel_edges meta_edges shared_metabolites select_links conversions short_cycles short_cycles_all species_copies orphan_metabolites used_models"
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
 
@@ -254,6 +258,9 @@ SELECT model_id, u, v, min(steps) AS steps FROM both_ GROUP BY ALL""",
 t AS (SELECT a.model_id, a.u AS n1, a.v AS n2, b.v AS n3 FROM g a JOIN g b ON a.model_id = b.model_id AND a.v = b.u WHERE a.u < a.v AND b.v > a.u AND b.v <> a.v)
 SELECT t.model_id, concat_ws(' ', n1, n2, n3) AS cycle, 3 AS size FROM t JOIN g ON g.model_id = t.model_id AND g.u = n3 AND g.v = n1
 UNION ALL SELECT t.model_id, concat_ws(' ', n1, n2, n3, h.v), 4 FROM t JOIN g h ON h.model_id = t.model_id AND h.u = n3 JOIN g k ON k.model_id = t.model_id AND k.u = h.v AND k.v = n1 WHERE h.v > n1 AND h.v <> n2 AND h.v <> n3""",
+    "short_cycles_all": PAIRS.replace("WITH s AS", "WITH RECURSIVE s AS", 1) + """g AS (SELECT model_id, u, v FROM ce WHERE u <> v),
+w AS (SELECT model_id, [u, v] AS p FROM g WHERE u < v UNION ALL SELECT w.model_id, list_append(p, g.v) FROM w JOIN g ON g.model_id = w.model_id AND g.u = p[-1] WHERE len(p) < 14 AND g.v > p[1] AND NOT list_contains(p, g.v))
+SELECT w.model_id, array_to_string(p, ' ') AS cycle, len(p)::INT AS size FROM w JOIN g ON g.model_id = w.model_id AND g.u = p[-1] AND g.v = p[1] WHERE len(p) >= 3""",
     "species_copies": BASE + _END + f"SELECT {_species('metabolite_id')} AS species, count(DISTINCT model_id) AS n_models, count(DISTINCT compartment) AS n_places, count(*) AS n_rows FROM m GROUP BY 1",
     "orphan_metabolites": BASE + _END + "SELECT model_id, metabolite_id FROM m WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.model_id = m.model_id AND s.metabolite_id = m.metabolite_id)",
     "used_models": "SELECT model_id, grade FROM model_list WHERE model_id IN (SELECT model_id FROM reaction_records)",

@@ -141,6 +141,16 @@ def test_layers_keep_back_edges(spark):
     assert sorted((r["from_layer"], r["a"], r["b"]) for r in proper.collect()) == [(0, "a", "a>c@1"), (0, "a", "b"), (1, "a>c@1", "c"), (1, "b", "c"), (2, "c", "d"), (3, "d", "e")]
 
 
+def test_rings_of_every_length(spark):
+    ring = [("m", f"c{i:02}", f"c{(i + 1) % 8:02}") for i in range(8)]
+    long = [("n", f"c{i:02}", f"c{(i + 1) % 14:02}") for i in range(14)] + [("o", f"c{i:02}", f"c{(i + 1) % 15:02}") for i in range(15)]
+    more = [("m", "c05", "c03"), ("m", "c01", "c06"), ("m", "c07", "x"), ("m", "a", "c00"), ("m", "c00", "c00"), ("m", "c01", "c00")]
+    edges = spark.createDataFrame(ring + long + more, "model_id string, u string, v string")
+    got = sorted((r["model_id"], r["size"], r["cycle"]) for r in N.rings(edges).collect())
+    names = [f"c{i:02}" for i in range(14)]
+    assert got == [("m", 3, "c03 c04 c05"), ("m", 4, "c00 c01 c06 c07"), ("m", 8, " ".join(names[:8])), ("n", 14, " ".join(names))]
+
+
 def test_model_files(spark, tmp_path):
     model = {"id": "m", "reactions": [{"id": "R1", "name": "r", "metabolites": {"b_c": 1, "a_c": -1.5}, "lower_bound": 0}], "metabolites": [{"id": "a_c", "name": "a", "compartment": "c", "charge": None}]}
     (tmp_path / "m1.json").write_text(json.dumps(model, indent=1))
