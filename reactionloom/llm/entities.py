@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from reactionloom.llm.bk_tree import entries_of, map_forms, spelled
-from reactionloom.llm.linkage import one_to_one, weighted, window_pairs
+from reactionloom.llm.linkage import one_to_one, weighted, window_and_tied_pairs
 from reactionloom.storage import written
 
 #: Other ways to write the compounds that take part everywhere.
@@ -129,7 +129,7 @@ def compound_pairs(metabolites: DataFrame, models: DataFrame, external: DataFram
         F.when(F.col("heavy").isNotNull(), F.concat_ws("|", "org", "place", "heavy", F.lpad(F.col("n_H").cast("string"), 4, "0"))),
         F.when(weight.isNotNull(), F.concat_ws("|", "org", "place", F.lpad(F.round(weight, 1).cast("string"), 9, "0"))),
     ]
-    pairs = window_pairs(both, keys)
+    pairs = window_and_tied_pairs(both, keys)
     side = lambda s, p: both.where(f"side = '{s}'").select(F.col("row").alias(s), *[F.col(c).alias(f"{p}_{c}") for c in ("genus", "label", "heavy", "n_H", "charge", "mass", "weight", "formula")])
     x = pairs.join(side("a", "m"), "a").join(side("b", "e"), "b")
     c = F.col
@@ -197,7 +197,7 @@ def reaction_pairs(records: DataFrame, stoich: DataFrame, models: DataFrame, ext
         F.concat_ws("|", "org", listed(F.reverse("labels")), "amounts"),
         F.when(F.col("title").isNotNull(), F.concat_ws("|", "org", "title", "amounts")),
     ]
-    pairs = window_pairs(both, keys)
+    pairs = window_and_tied_pairs(both, keys)
     side = lambda s, p: both.where(f"side = '{s}'").select(F.col("row").alias(s), *[F.col(c).alias(f"{p}_{c}") for c in ("genus", "labels", "amounts", "title", "unknown")])
     x = pairs.join(side("a", "m"), "a").join(side("b", "e"), "b")
     c = F.col

@@ -28,29 +28,61 @@ from pyspark.sql.window import Window as W
 from reactionloom.storage import written
 
 WINDOW = 12
+SALTS = 16
 
 
-def positions(rows: DataFrame, keys: list[Column], parts: int) -> DataFrame:
-    """(pass, row, side, grp, pos): each row once for each key that is not null, with its position in the sort of all."""
+def positions(rows: DataFrame, keys: list[Column], parts: int, mixed: bool = False) -> DataFrame:
+    """(pass, key, row, side, grp, pos): each row once for each key that is not null, with its position in the sort of all.
+
+    Equal keys are ordered by the row, or if `mixed` by a hash of it: where ids tell the sides apart, the row would put one
+    side before the other.
+    """
     each = F.array(*[F.struct(F.lit(i).alias("pass"), k.alias("key")) for i, k in enumerate(keys)])
     keyed = rows.select("row", "side", "grp", F.explode(each).alias("k")).where("k.key is not null").select("row", "side", "grp", "k.pass", "k.key")
-    ordered = keyed.repartitionByRange(parts, "pass", "key", "row").sortWithinPartitions("pass", "key", "row")
-    placed = written(ordered.select("pass", "row", "side", "grp", F.monotonically_increasing_id().alias("id")), "sorted")
+    order = ["pass", "key", *([F.xxhash64("row")] if mixed else []), "row"]
+    ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = written(ordered.select("pass", "key", "row", "side", "grp", F.monotonically_increasing_id().alias("id")), "sorted")
     part, within = F.shiftright("id", 33), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # one row per partition of the sort
     before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = F.broadcast(sizes.select("part", before.alias("start")))
-    return placed.withColumn("part", part).join(starts, "part").select("pass", "row", "side", "grp", (F.col("start") + within).alias("pos"))
+    return placed.withColumn("part", part).join(starts, "part").select("pass", "key", "row", "side", "grp", (F.col("start") + within).alias("pos"))
 
 
 def window_pairs(rows: DataFrame, keys: list[Column], window: int = WINDOW, parts: int | None = None) -> DataFrame:
     """(a, b): rows of side a and side b in the same `grp` that are within the window in any pass; distinct."""
-    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = positions(rows, keys, parts).withColumn("block", F.floor(F.col("pos") / window))
+    return near_pairs(positions(rows, keys, _parts(rows, parts)), window).distinct()
+
+
+def window_and_tied_pairs(rows: DataFrame, keys: list[Column], window: int = WINDOW, parts: int | None = None) -> DataFrame:
+    """(a, b): as `window_pairs`, with the sides mixed within a key, and all pairs of the same `grp` with an equal key; distinct."""
+    placed = positions(rows, keys, _parts(rows, parts), mixed=True)
+    return near_pairs(placed, window).unionByName(tied_pairs(placed, window)).distinct()
+
+
+def _parts(rows: DataFrame, parts: int | None) -> int:
+    return parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def near_pairs(placed: DataFrame, window: int) -> DataFrame:
+    """(a, b) of the same `grp` at most `window` positions apart in a pass."""
+    placed = placed.withColumn("block", F.floor(F.col("pos") / window))
     left = placed.where("side = 'a'").select("block", "pass", F.col("grp").alias("grp_a"), F.col("row").alias("a"), F.col("pos").alias("pos_a"))
     right = placed.where("side = 'b'").select(F.explode(F.array([F.col("block") + d for d in (-1, 0, 1)])).alias("block"), F.col("pass").alias("pass_b"), F.col("grp").alias("grp_b"), F.col("row").alias("b"), F.col("pos").alias("pos_b"))
     near = left.join(right, "block").where(F.abs(F.col("pos_a") - F.col("pos_b")) <= window)
-    return near.where("grp_a = grp_b and pass = pass_b").select("a", "b").distinct()
+    return near.where("grp_a = grp_b and pass = pass_b").select("a", "b")
+
+
+def tied_pairs(placed: DataFrame, window: int) -> DataFrame:
+    """(a, b) with an equal key of a pass in the same `grp`, for keys with more rows than are sure to be within the window.
+
+    Side b is salted and side a goes to every salt, so one key's pairs are spread over SALTS tasks.
+    """
+    long = placed.groupBy("pass", "key").agg(F.count("*").alias("n")).where(F.col("n") > window + 1).select("pass", "key")
+    tied = placed.join(long, ["pass", "key"])
+    left = tied.where("side = 'a'").select("pass", "key", "grp", F.col("row").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    right = tied.where("side = 'b'").select("pass", "key", "grp", F.col("row").alias("b"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
+    return left.join(right, ["pass", "key", "grp", "salt"]).select("a", "b")
 
 
 def weighted(parts: list[tuple[float, Column]]) -> Column:

@@ -94,3 +94,10 @@ def test_reactions(spark):
     ext = spark.createDataFrame(rows, "ext_row long, organism string, title string, equation string")
     got = E.match_reactions(records, st, mets, models, ext, refs).collect()
     assert sorted((r["model_row"], r["ext_row"]) for r in got) == [(1, 201), (2, 202)]
+
+
+def test_equal_keys_beyond_the_window(spark):
+    rows = [(i, "a", "g", "same") for i in range(20)] + [(100 + i, "b", "g", "same") for i in range(20)] + [(200, "b", "h", "same")]
+    df = spark.createDataFrame(rows, "row long, side string, grp string, k string")
+    got = {(r["a"], r["b"]) for r in L.window_and_tied_pairs(df, [F.col("k")]).collect()}
+    assert got == {(a, 100 + b) for a in range(20) for b in range(20)}
