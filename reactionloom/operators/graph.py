@@ -1,12 +1,12 @@
 """Graph operators as loops of joins over edge tables.
 
 Each round is a written table, so a plan never grows with the number of rounds and a lost executor costs one round. Rounds
-are bounded by the graph's diameter, within one model.
+of distances and layers are bounded by the graph's diameter, within one model; those of components by its logarithm.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -17,16 +17,38 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("model_id", "u", "v").union(edges.select("model_id", F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
 
 
+def connected(links: DataFrame) -> DataFrame:
+    """(node, component): the smallest node of each connected component of the undirected `links` (u, v), any orderable type.
+
+    Alternating large and small stars: a node hangs its greater neighbours on its smallest one, then itself and its smaller
+    neighbours. The number of rounds follows the logarithm of the nodes, not the diameter. Each round is one written table,
+    whose count and checksum, taken as it is written, tell when nothing changes any more. A node linked to itself only is a
+    component of its own; nulls are no nodes; no links give no rows.
+    """
+    known = links.where("u is not null and v is not null").select("u", "v")
+    now, before = written(known.where("u <> v").distinct(), "stars"), None
+    while True:
+        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        seen = Observation()
+        stars = small.select("e.u", "e.v").where("u <> v").distinct()
+        now = written(stars.observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("sum")), "stars")
+        after = (seen.get["n"], seen.get["sum"])
+        if after == before or not after[0]:
+            break
+        before = after
+    nodes = known.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(model_id, node, component): the smallest node of each weakly connected component."""
-    both = written(undirected(edges), "edges")
-    labels = written(both.select("model_id", F.col("u").alias("node"), F.col("u").alias("component")).distinct(), "labels")
-    while True:
-        offers = both.join(labels.withColumnRenamed("node", "v"), ["model_id", "v"]).groupBy("model_id", F.col("u").alias("node")).agg(F.min("component").alias("offer"))
-        new = written(labels.join(offers, ["model_id", "node"], "left").select("model_id", "node", F.least("component", "offer").alias("component"), (F.col("offer") < F.col("component")).alias("moved")), "labels")
-        labels = new.drop("moved")
-        if new.where("moved").isEmpty():
-            return labels
+    node = lambda c: F.struct("model_id", F.col(c).alias("node"))
+    found = connected(written(edges.select("model_id", "u", "v").distinct(), "edges").select(node("u").alias("u"), node("v").alias("v")))
+    return found.select("node.model_id", "node.node", F.col("component.node").alias("component"))
 
 
 def distances(edges: DataFrame, sources: DataFrame, limit: int | None = None) -> DataFrame:
