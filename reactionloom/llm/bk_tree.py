@@ -1,13 +1,14 @@
 """Names typed by hand, mapped to the entry of a reference list that is meant.
 
 Names and entries (canonical names and synonyms) are first brought to one spelling with Spark's string functions: case,
-white space, notes, word order and listed abbreviations. Then a BK-tree over the entries under the Levenshtein distance, a
+white space, word order, and the notes and abbreviations of a ``Spelling`` that the caller may choose. Then a BK-tree over the entries under the Levenshtein distance, a
 true metric, gives every entry within the allowed distance of a name: subtrees are skipped by the triangle inequality. A
 batch of names walks the tree level by level, and the distances of all (name, node) pairs of a level are computed at once
 by a bit-parallel algorithm over numpy arrays. Each distinct spelling is looked up once, whatever the number of rows.
 
-A list of up to ``SHARD`` entries is one tree, broadcast. A longer one is cut into shards of that size by hash: each
-(shard, slice of names) is one task with a tree of its own, and the winners of the shards are merged.
+A list of up to ``SHARD`` entries is one tree for each kind, broadcast. A longer one is cut into shards of at most about
+that size, by kind, length and hash. The tree of a shard is built once and stored; a name goes only to the shards whose
+entries can be within its radius by their length, in slices of ``SLICE`` names, and the winners of the shards are merged.
 
 A name may be away from an entry by one edit from ``ONE_EDIT`` characters on and by two (a swap of neighbours is two) from
 ``TWO_EDITS``; numbers and single letters in it (positions, D and L) must be the entry's. The nearest entry is meant, among
@@ -20,7 +21,9 @@ synonyms are ignored; repeated rows count once; names of any length are allowed;
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -28,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from reactionloom.storage import written
+
 SHARD = 20_000
 SLICE = 20_000
 ONE_EDIT, TWO_EDITS = 5, 8
@@ -43,15 +48,31 @@ ABBREVIATIONS = {
 NOTES = r"\((?:reversible|irreversible|cytosol|mitochondria|extracellular)\)|\[[a-z]\d?\]|\s-\s*putative\b|[*?]+"
 
 
-def spelled(name: Column, abbreviations: dict[str, str] = ABBREVIATIONS) -> Column:
+@dataclass(frozen=True)
+class Spelling:
+    """How names are brought to one spelling: words written out, and a pattern of remarks that are left out (None: none)."""
+
+    abbreviations: dict[str, str] = field(default_factory=lambda: dict(ABBREVIATIONS))
+    notes: str | None = NOTES
+
+
+SPELLING = Spelling()
+#: Case, separators and word order only.
+PLAIN = Spelling({}, None)
+
+
+def spelled(name: Column, spelling: Spelling = SPELLING) -> Column:
     """One spelling of a name: lower case, single spaces for separators, no notes, `kind, stem` turned round, words in full."""
-    s = F.lower(name)
-    s = F.regexp_replace(F.translate(s, " _\t", "   "), NOTES, " ")
+    s = F.translate(F.lower(name), " _\t", "   ")
+    if spelling.notes:
+        s = F.regexp_replace(s, spelling.notes, " ")
     s = F.regexp_replace(F.regexp_replace(s, "α", "alpha "), "β", "beta ")
     s = F.regexp_replace(s, r"^\s*([^,]+?)\s*,\s*(\D.*)$", "$2 $1")
     words = F.filter(F.split(s, r"[\s\-.,]+"), lambda w: w != "")
-    table = F.create_map(*[F.lit(x) for pair in abbreviations.items() for x in pair])
-    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w)), " ")
+    if spelling.abbreviations:
+        table = F.create_map(*[F.lit(x) for pair in spelling.abbreviations.items() for x in pair])
+        words = F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w))
+    return F.array_join(words, " ")
 
 
 class Metric:
@@ -79,8 +100,24 @@ class Metric:
         out = np.empty(len(q), "int64")
         for at in range(0, len(q), step):
             out[at : at + step] = self._block(codes, sizes, q[at : at + step], e[at : at + step])
-        for i in np.nonzero(self.size[e] > 64)[0]:
-            out[i] = _distance(names[q[i]], self.entries[e[i]])
+        long = np.nonzero(self.size[e] > 64)[0]
+        for i in np.unique(e[long]):  # one entry and all names that meet it
+            at = long[e[long] == i]
+            width = max(1, 4_000_000 // int(self.size[i]))
+            for k in range(0, len(at), width):
+                out[at[k : k + width]] = self._rows(codes, sizes, q[at[k : k + width]], int(i))
+        return out
+
+    def _rows(self, codes: np.ndarray, sizes: np.ndarray, q: np.ndarray, entry: int) -> np.ndarray:
+        """Distances of many names to one entry of any length, the rows of all their tables computed together."""
+        text = np.array([self.codes[c] for c in self.entries[entry]], "int64")
+        at = np.arange(len(text) + 1)
+        row, out = np.tile(at, (len(q), 1)), np.full(len(q), len(text), "int64")
+        for j in range(int(sizes[q].max(initial=0))):
+            best = np.minimum(row[:, 1:] + 1, row[:, :-1] + (text != codes[q, j][:, None]))
+            row = np.minimum.accumulate(np.column_stack([np.full(len(q), j + 1), best]) - at, axis=1) + at
+            ends = sizes[q] == j + 1
+            out[ends] = row[ends, -1]
         return out
 
     def _block(self, codes: np.ndarray, sizes: np.ndarray, q: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -218,33 +255,53 @@ def map_forms(forms: DataFrame, entries: DataFrame, shard: int = SHARD) -> DataF
 
         parts = max(forms.sparkSession.sparkContext.defaultParallelism, int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         return names.repartition(parts, "form").mapInPandas(run, _FOUND).drop("swaps")
+    return _map_sharded(names, entries, shard)
+
+
+def _map_sharded(names: DataFrame, entries: DataFrame, shard: int) -> DataFrame:
+    key = ["kind", "size", "part"]
+    entries = entries.withColumn("size", F.length("form"))
+    sizes = entries.groupBy("kind", "size").agg(F.ceil(F.count("*") / shard).cast("int").alias("parts"))
+    sizes = written(sizes, "shards")  # one row per kind and length
+
+    def build(own: pd.DataFrame) -> pd.DataFrame:
+        blob = pickle.dumps(_by_kind(own))
+        return own[key].iloc[:1].assign(blob=[blob])
+
+    placed = entries.join(sizes, ["kind", "size"]).withColumn("part", F.pmod(F.xxhash64("form"), F.col("parts")).cast("int"))
+    trees = written(placed.select(*key, "form", "ref_id").groupBy(*key).applyInPandas(build, "kind string, size int, part int, blob binary"), "trees")
 
-    shards, slices = -(-entries.count() // shard), int(names.count() // SLICE) + 1
-    sharded = entries.withColumn("shard", F.pmod(F.xxhash64("form"), F.lit(shards)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    sliced = names.withColumn("slice", F.pmod(F.xxhash64("form"), F.lit(slices)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    length = F.length("form")
+    radius = F.when(length >= TWO_EDITS, 2).when(length >= ONE_EDIT, 1).otherwise(0)
+    near = names.withColumn("size", F.explode(F.sequence(length - radius, length + radius))).join(sizes, ["kind", "size"])
+    near = near.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*key, "form")
+    slices = near.groupBy(*key).agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    sliced = near.join(slices, key).withColumn("slice", F.pmod(F.xxhash64("form"), F.col("slices")).cast("int"))
+    copies = trees.join(slices, key).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
 
-    def one(names: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        found = [*_looked_up(_by_kind(own), names)]
+    def one(names: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        found = [*_looked_up(pickle.loads(tree["blob"].iloc[0]), names)] if len(tree) and len(names) else []
         return pd.concat(found) if found else pd.DataFrame(columns=["kind", "form", "ref_id", "distance", "swaps"])
 
-    winners = sliced.groupBy("shard", "slice").cogroup(sharded.groupBy("shard", "slice")).applyInPandas(one, _FOUND)
+    by = [*key, "slice"]
+    winners = sliced.select(*by, "form").groupBy(*by).cogroup(copies.select(*by, "blob").groupBy(*by)).applyInPandas(one, _FOUND)
     best = F.min(F.struct("distance", "swaps", "ref_id")).alias("w")
     return winners.groupBy("kind", "form").agg(best).select("kind", "form", "w.ref_id", "w.distance")
 
 
-def entries_of(references: DataFrame, ref_id: str = "ref_id", kind: str = "kind", name: str = "name", synonyms: str = "synonyms") -> DataFrame:
+def entries_of(references: DataFrame, ref_id: str = "ref_id", kind: str = "kind", name: str = "name", synonyms: str = "synonyms", spelling: Spelling = SPELLING) -> DataFrame:
     """(kind, ref_id, form) of every name and synonym."""
     named = F.concat(F.array(F.col(name)), F.coalesce(F.col(synonyms), F.array().cast("array<string>")))
     each = references.select(F.col(kind).alias("kind"), F.col(ref_id).cast("bigint").alias("ref_id"), F.explode(named).alias("name"))
-    return each.where(F.col("name").isNotNull()).select("kind", "ref_id", spelled(F.col("name")).alias("form"))
+    return each.where(F.col("name").isNotNull()).select("kind", "ref_id", spelled(F.col("name"), spelling).alias("form"))
 
 
-def map_to_list(rows: DataFrame, references: DataFrame, shard: int = SHARD) -> DataFrame:
+def map_to_list(rows: DataFrame, references: DataFrame, shard: int = SHARD, spelling: Spelling = SPELLING) -> DataFrame:
     """(kind, row_key, name, ref_id) for rows (kind, row_key, name): the entry of `references` (kind, ref_id, name, synonyms) that is meant, or -1."""
     cases = rows.where(F.col("name").isNotNull()).select("kind", "row_key", "name").distinct()
     cases = cases.join(references.select("kind", "name").where("name is not null"), ["kind", "name"], "left_anti")
-    cases = cases.withColumn("form", spelled(F.col("name")))
-    found = map_forms(cases.select("kind", "form"), entries_of(references), shard)
+    cases = cases.withColumn("form", spelled(F.col("name"), spelling))
+    found = map_forms(cases.select("kind", "form"), entries_of(references, spelling=spelling), shard)
     return cases.join(found, ["kind", "form"], "left").select("kind", "row_key", "name", F.coalesce("ref_id", F.lit(-1).cast("bigint")).alias("ref_id"))
 
 

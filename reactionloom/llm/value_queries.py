@@ -57,9 +57,9 @@ def p2_unmatched(spark: SparkSession, folder: str) -> DataFrame:
 def p4_matches(spark: SparkSession, folder: str) -> DataFrame:
     """(kind, model_row, ext_row, confidence)."""
     t = lambda name, *columns: table(spark, folder, name, *columns)
-    compounds = t("metabolites", "met_row", "model_id", "metabolite_id", "name", "formula", "charge", "compartment")
+    compounds = t("metabolites", "met_row", "model_id", "metabolite_id", "name", "formula", "charge", "compartment", "loaded_at")
     models, references = t("model_list", "model_id", "organism"), t("name_list")
-    records, stoich = t("reaction_records", "rxn_row", "model_id", "rid", "name"), t("stoich", "model_id", "rid", "pos", "metabolite_id", "coefficient")
+    records, stoich = t("reaction_records", "rxn_row", "model_id", "rid", "name", "loaded_at"), t("stoich", "model_id", "rid", "pos", "metabolite_id", "coefficient", "loaded_at")
     return match_both(compounds, records, stoich, models, t("ext_compounds"), t("ext_reactions"), references)
 
 

@@ -45,11 +45,11 @@ LIST = [(1, "reaction", "abcdefgh kinase", ["Trivialname enzyme"], "x"), (2, "re
 NAMES = {("reaction", "ABCDEFGH  Kin."): 1, ("reaction", "mutase, abcdfegh"): 2, ("reaction", "Trivialnam enzyme"): 1, ("reaction", "abcdefgh lyase"): -1, ("metabolite", "D-abcdefh 1-P"): 3, ("metabolite", "L-abcdefgh 2-phosphate"): -1, ("metabolite", "atp"): 5, ("metabolite", "AXP"): -1, ("metabolite", " "): -1, ("metabolite", "q" * 3_000): -1, ("other", "atp"): -1}
 
 
-def mapped(spark, shard, references=LIST):
+def mapped(spark, shard, references=LIST, **more):
     rows = [(k, i, n, "clash") for i, (k, n) in enumerate(NAMES)] * 2 + [("reaction", 90, None, ""), ("metabolite", 91, "ATP", "")]
     names = spark.createDataFrame(rows, "kind string, row_key long, name string, form string")
     refs = spark.createDataFrame(references, "ref_id long, kind string, name string, synonyms array<string>, form string")
-    return [(r["kind"], r["name"], r["ref_id"]) for r in B.map_to_list(names, refs, shard).collect()]
+    return [(r["kind"], r["name"], r["ref_id"]) for r in B.map_to_list(names, refs, shard, **more).collect()]
 
 
 def test_mapping_with_one_tree_and_with_shards(spark):
@@ -58,6 +58,21 @@ def test_mapping_with_one_tree_and_with_shards(spark):
     assert sorted(mapped(spark, 2)) == expected
 
 
+def test_spelling_is_the_callers(spark):
+    without = {(k, n): r for k, n, r in mapped(spark, B.SHARD, spelling=B.PLAIN)}
+    assert without[("reaction", "ABCDEFGH  Kin.")] == -1 and without[("reaction", "mutase, abcdfegh")] == 2
+
+
+def test_long_entries_against_plain():
+    rng = random.Random(2)
+    entries = ["".join(rng.choice("ab") for _ in range(n)) for n in (65, 70, 200)]
+    names = [e[:i] + e[i + 1 :] for e in entries for i in (0, 40)] + ["", "a" * 300]
+    metric = B.Metric(entries)
+    codes, sizes = metric.texts(names)
+    q, e = (np.array(x) for x in zip(*[(i, j) for i in range(len(names)) for j in range(3)], strict=True))
+    assert metric.distances(codes, sizes, names, q, e).tolist() == [plain(names[i], entries[j]) for i, j in zip(q, e, strict=True)]
+
+
 def test_empty_list(spark):
     assert {r for _, _, r in mapped(spark, B.SHARD, [])} == {-1}
 
