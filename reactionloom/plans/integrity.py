@@ -110,7 +110,35 @@ UNION SELECT raw_id, kind, rk, ck FROM m WHERE json_type(v) <> 'NULL'
 UNION SELECT raw_id, 'broken', '', '' FROM q WHERE doc IS NULL
 """
 
+#: The four tables. The ordinal of a member of an object by key is its rank among the sorted keys.
+_P5_TABLES = _P5[: _P5.index("r AS (")] + """
+r0 AS (
+  SELECT raw_id, k AS key, row_number() OVER (PARTITION BY raw_id ORDER BY k) - 1 AS ordinal, body->'reactions'->('$."' || k || '"') AS v
+  FROM (SELECT raw_id, body, unnest(json_keys(body->'reactions')) AS k FROM b WHERE json_type(body->'reactions') = 'OBJECT')
+  UNION ALL
+  SELECT raw_id, v->>'bigg_id', i, v
+  FROM (SELECT raw_id, unnest(json_extract(body, '$.reactions[*]')) AS v, unnest(range(json_array_length(body->'reactions')::BIGINT)) AS i FROM b WHERE json_type(body->'reactions') = 'ARRAY')),
+rx AS (SELECT raw_id, '/reactions/' || ordinal AS path, ordinal::INT AS ordinal, key, v FROM r0 WHERE json_type(v) <> 'NULL'),
+c AS (
+  SELECT raw_id, path AS parent_path, key AS parent_key, 'segments' AS name, v->'segments' AS held, 'id' AS kf FROM rx
+  UNION ALL SELECT raw_id, path, key, 'metabolites', v->'metabolites', 'bigg_id' FROM rx
+  UNION ALL SELECT raw_id, '', '', 'nodes', body->'nodes', 'node_id' FROM b),
+m0 AS (
+  SELECT * EXCLUDE (held, kf, k), k AS key, row_number() OVER (PARTITION BY raw_id, parent_path, name ORDER BY k) - 1 AS ordinal, held->('$."' || k || '"') AS v
+  FROM (SELECT *, unnest(json_keys(held)) AS k FROM c WHERE json_type(held) = 'OBJECT')
+  UNION ALL
+  SELECT * EXCLUDE (held, kf, v, i), v->>kf, i, v
+  FROM (SELECT *, unnest(json_extract(held, '$[*]')) AS v, unnest(range(json_array_length(held)::BIGINT)) AS i FROM c WHERE json_type(held) = 'ARRAY')),
+mx AS (SELECT raw_id, name, parent_path, parent_key, parent_path || '/' || name || '/' || ordinal AS path, ordinal::INT AS ordinal, key, v FROM m0 WHERE json_type(v) <> 'NULL')
+"""
+
 ORACLE = {
+    "p5_reactions": _P5_TABLES + "SELECT raw_id, path, ordinal, key, v->>'name' AS name, (v->>'reversibility')::BOOLEAN AS reversibility FROM rx",
+    "p5_segments": _P5_TABLES + """SELECT raw_id, parent_path, parent_key, path, ordinal, key, v->>'from_node_id' AS from_node_id, v->>'to_node_id' AS to_node_id,
+(v->>'$.b1.x')::DOUBLE AS b1_x, (v->>'$.b1.y')::DOUBLE AS b1_y FROM mx WHERE name = 'segments'""",
+    "p5_metabolites": _P5_TABLES + """SELECT raw_id, parent_path, parent_key, path, ordinal, key, CASE WHEN json_type(v) = 'OBJECT' THEN v->>'coefficient' ELSE v->>'$' END::DOUBLE AS coefficient
+FROM mx WHERE name = 'metabolites'""",
+    "p5_nodes": _P5_TABLES + "SELECT raw_id, path, ordinal, key, v->>'node_type' AS node_type, (v->>'x')::DOUBLE AS x, (v->>'y')::DOUBLE AS y, v->>'bigg_id' AS bigg_id FROM mx WHERE name = 'nodes'",
     "p3_found": _P3 + "SELECT map_id, seg_id, field, reason, period FROM found",
     "p3_report": _P3 + "SELECT field, reason, period, count(*) AS n_references, count(DISTINCT map_id) AS n_maps FROM found GROUP BY ALL",
     "p5_found": _P5,

@@ -88,6 +88,31 @@ def test_merged_schema_links_and_values(spark):
     assert values == {"a_c": "-1", "b_c": "2.5"}
 
 
+def test_twelve_levels_give_twelve_tables(spark):
+    value = {"n": 12}
+    for i in range(11, 0, -1):
+        value = {"n": i, "below": [value, {"n": -i}]}
+    texts = spark.createDataFrame([(1, json.dumps({"below": [value]}))], "k long, t string")
+    flat = flatten(*parsed(texts, "k", "t"), F.col("doc"), (), array_key="n")
+    names = [".".join(["below"] * i) for i in range(1, 13)]
+    assert sorted(flat.levels) == sorted(["", *names])
+    assert sorted(r["key"] for r in flat.table(names[11]).collect()) == ["-11", "12"]
+    assert flat.table(names[5]).where("f_n = 6").first()["parent_path"] == "/below/0" + "/below/0" * 4
+
+
+def test_repeated_names_count_last(spark):
+    got = objects(spark, ['[{}, {"nodes": {"1": {"x": 1}, "2": {"x": 2, "x": 3}}, "reactions": {}, "reactions": {"R": {}}}]'])
+    assert got == {(0, "node", "", "1"), (0, "node", "", "2"), (0, "reaction", "", "R")}
+
+
+def test_more_fields_than_columns(spark):
+    texts = spark.createDataFrame([(1, json.dumps({"rows": [{f"f{i}": i for i in range(9)} | {"g": [{"n": 1}, {"n": 2}], "h": [{"n": 3}]}]}))], "k long, t string")
+    flat = flatten(*parsed(texts, "k", "t"), F.col("doc"), (Collection("rows", "f0"),), array_key="n", max_fields=5)
+    rows = flat.table("rows").select(F.try_variant_get("f__rest", "$.f8", "int")).collect()
+    assert [tuple(r) for r in rows] == [(8,)]
+    assert sorted((r["collection"], r["key"], r["f_n"]) for r in flat.table("rows.*").collect()) == [("g", "1", 1), ("g", "2", 2), ("h", "3", 3)]
+
+
 def test_other_trees(spark):
     texts = spark.createDataFrame([(1, '{"orders": [{"id": 5, "lines": [{"n": 1}, {"n": 2}]}]}')], "k long, t string")
     documents, broken = parsed(texts, "k", "t")
