@@ -2,11 +2,12 @@
 
 import datetime as dt
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from reactionloom.operators.nested import Collection, flatten, parsed
-from reactionloom.operators.orphans import filter_size, orphan_references, orphan_report
+from reactionloom.operators.orphans import filter_blocks, orphan_references, orphan_report, probed_references
 from reactionloom.sources.escher import map_objects, read_maps
 
 D = dt.datetime
@@ -32,9 +33,9 @@ def test_reasons_spellings_copies_and_clashing_columns(spark):
         [(1, 2, "a", "deleted", "2024-03"), (1, 2, "b", "deleted", "2024-03"), (1, 3, "a", "late", "2024-03"), (1, 4, "a", "missing", "2024-03"), (1, 5, "a", "missing", "2024-03"), (1, 6, "a", "deleted", None), (1, 6, "b", "deleted", None), (None, 7, "a", "missing", "2024-03"), (1, 8, "a", "missing", "2024-03"), (1, 8, "b", "deleted", "2024-03")],
         key=str,
     )
-    for words in (64, 1):  # a filter with one word lets nearly all pass; the exact join decides alike
+    for more in ({}, {"blocks": 1}, {"blocks": 101, "broadcast_bytes": 0}, {"per_task": 1}):
         c, p = spark.createDataFrame(children, CHILD), spark.createDataFrame(parents, PARENT)
-        got = orphan_references(c, p, group="map_id", row_id="seg_id", fields=["a", "b"], at="drawn", parent_key="node_id", since="since", until="until", max_words=words)
+        got = orphan_references(c, p, group="map_id", row_id="seg_id", fields=["a", "b"], at="drawn", parent_key="node_id", since="since", until="until", **more)
         assert sorted((tuple(r) for r in got.collect()), key=str) == expected
 
 
@@ -46,9 +47,33 @@ def test_empty_tables_and_report(spark):
     assert [tuple(r) for r in orphan_report(rows).collect()] == [("a", "late", "2024-03", 2, 2)]
 
 
-def test_filter_size_is_bounded():
-    assert filter_size(0) == 64
-    assert filter_size(10**15) == 1 << 20
+def test_against_every_parent_row(spark):
+    rng = random.Random(17)
+    day = lambda: None if rng.random() < 0.1 else D(2024, 1, 1) + dt.timedelta(days=rng.randrange(60))
+    parents = [(rng.randrange(3), rng.randrange(6), day(), day(), 0, 0) for _ in range(60)]
+    children = [(rng.randrange(3), i, str(rng.randrange(8)), str(rng.choice([2, 2, 2, 3])), day(), 0) for i in range(200)]
+    want = []
+    for m, row, a, b, t, _ in children:
+        for field, ref in (("a", int(a)), ("b", int(b))):
+            own = [p for p in parents if p[0] == m and p[1] == ref]
+            if not any(t and s and s <= t and (u is None or t < u) for _, _, s, u, _, _ in own):
+                late = own and t and all(s and s > t for _, _, s, _, _, _ in own)
+                want.append((m, row, field, "missing" if not own else "late" if late else "deleted", t and t.strftime("%Y-%m")))
+    for more in ({}, {"per_task": 5}):
+        assert sorted(orphans(spark, children, parents, **more), key=str) == sorted(want, key=str)
+
+
+def test_the_filter_settles_as_much_at_any_size(spark):
+    """Nine of ten references have no parent. The filter of 64 times the parents settles them as well as that of one time."""
+    shares = []
+    for load in (1, 16, 64):
+        rows = spark.range(500 * load).select(F.lit(1).alias("group"), F.col("id").alias("key"))
+        refs = spark.range(20_000).select(F.lit(1).alias("group"), F.when(F.col("id") % 10 == 0, F.pmod("id", F.lit(500))).otherwise(-1 - F.col("id")).alias("key"))
+        probed = probed_references(refs, rows, broadcast_bytes=1 << 15)  # the two larger ones are not broadcast
+        shares.append(probed.where("not may_exist").count() / 20_000)
+        assert probed.where("may_exist and key >= 0").count() == 2_000
+    assert min(shares) > 0.895 and max(shares) <= 0.9
+    assert filter_blocks(0) == 1 and filter_blocks(10**9) * 4096 >= 16 * 10**9
 
 
 BODY = {"reactions": {"R1": {"bigg_id": "R1", "segments": {"s1": {"from_node_id": "1"}, "s2": {}}, "metabolites": {"a_c": -1, "b_c": 2.5}}, "R2": {"segments": None, "metabolites": []}}, "nodes": [{"node_id": "1", "x": 1.5}, {"node_id": "2", "x": 2, "tags": [{"bigg_id": "t"}]}, {"x": 1}, None]}
