@@ -15,10 +15,20 @@ from pyspark.sql.window import Window as W
 from reactionloom.functions.chemistry import ELEMENTS, atoms, compartment, moiety_score, species
 from reactionloom.storage import written
 
-#: Compounds that count as currency whatever their degree, and those never drawn as a main compound (fixed values).
-CURATED = ("atp", "adp", "nad", "nadh", "coa", "h2o", "h", "pi", "co2", "nh4")
-NEVER_PRIMARY = ("h2o", "h", "atp", "adp", "nad", "nadh", "coa", "pi")
-SUPPRESSED = ("h2o", "h")
+#: Compounds that count as currency whatever their degree, those never drawn, and those never drawn as a main compound.
+CURATED = (
+    "h", "h2o", "o2", "co2", "pi", "ppi", "pppi", "nh4", "nh3", "so4", "so3", "atp", "adp", "amp", "gtp", "gdp", "gmp", "utp", "udp", "ump", "ctp", "cdp", "cmp", "itp", "idp", "imp",
+    "datp", "dadp", "damp", "dgtp", "dctp", "dttp", "nad", "nadh", "nadp", "nadph", "fad", "fadh2", "fmn", "fmnh2", "coa", "q8", "q8h2", "mqn8", "mql8", "q6", "q6h2", "thf", "mlthf",
+    "methf", "5mthf", "10fthf", "trdox", "trdrd", "gthox", "gthrd", "na1", "k", "cl", "ca2", "mg2", "fe2", "fe3", "mn2", "zn2", "cu2", "cobalt2", "hco3", "h2o2", "no", "no2", "no3", "n2", "h2", "h2s",
+)
+SUPPRESSED = ("h", "h2o")
+NEVER_PRIMARY = (
+    "atp", "adp", "amp", "gtp", "gdp", "gmp", "utp", "udp", "ump", "ctp", "cdp", "cmp", "pi", "ppi", "pppi", "nad", "nadh", "nadp", "nadph", "fad", "fadh2", "fmn", "fmnh2", "coa", "co2", "o2",
+    "h2o2", "nh4", "gthrd", "gthox", "q8", "q8h2", "mqn8", "mql8", "trdox", "trdrd", "h", "h2o",
+)
+#: Id prefixes and ontology terms of reactions at the boundary.
+BOUNDARY_IDS = ("EX_", "DM_", "SK_", "BIOMASS", "ATPM")
+BOUNDARY_TERMS = ("SBO:0000627", "SBO:0000628", "SBO:0000629", "SBO:0000630", "SBO:0000632")
 CUTOFF = 0.5
 DAMPING = 0.88
 #: Longest ring that is looked for.
@@ -77,14 +87,25 @@ def backbone(stoich: DataFrame, scores: DataFrame) -> DataFrame:
     return stoich.join(scores.select(*METABOLITE, "score"), METABOLITE, "left").where(F.coalesce("score", F.lit(0.0)) < CUTOFF).drop("score")
 
 
-def boundary_flags(reactions: DataFrame, stoich: DataFrame, scores: DataFrame) -> DataFrame:
-    """Reactions at the model's boundary: by id prefix, with one side only, or with a backbone compound on one side only."""
-    x = stoich.join(scores.select(*METABOLITE, "score"), METABOLITE, "left")
-    backbone_side = lambda cond: F.max(cond & (F.coalesce("score", F.lit(0.0)) < CUTOFF))
+def boundary_flags(reactions: DataFrame, stoich: DataFrame, canonical: DataFrame | None = None) -> DataFrame:
+    """Reactions at the model's boundary.
+
+    By id prefix, by ontology term (column `sbo`) or as objective (column `objective`) where the reactions have those, with
+    one side only, or with a compound that may be a main one on exactly one side. Currency on both sides is energy
+    metabolism, no boundary. `canonical` (model_id, metabolite_id, canonical) tells compounds; without it the id does.
+    """
+    x = stoich if canonical is None else stoich.join(canonical, METABOLITE, "left")
+    compound = species(F.col("metabolite_id")) if canonical is None else F.coalesce("canonical", species(F.col("metabolite_id")))
+    main = ~compound.isin(*NEVER_PRIMARY)
     neg, pos = F.col("coefficient") < 0, F.col("coefficient") > 0
-    sides = x.groupBy(*REACTION).agg(F.max(neg).alias("has_sub"), F.max(pos).alias("has_prod"), backbone_side(neg).alias("sub"), backbone_side(pos).alias("prod"))
-    flag = F.upper("rid").rlike("^(EX_|DM_|SK_|BIOMASS|ATPM)") | ~F.col("has_sub") | ~F.col("has_prod") | (F.col("sub") != F.col("prod"))
-    return reactions.select(*REACTION).join(sides, REACTION, "left").select(*REACTION, F.coalesce(flag, F.lit(True)).alias("boundary"))
+    sides = x.groupBy(*REACTION).agg(F.max(neg).alias("has_sub"), F.max(pos).alias("has_prod"), F.max(neg & main).alias("sub"), F.max(pos & main).alias("prod"))
+    said = F.upper("rid").rlike(f"^({'|'.join(BOUNDARY_IDS)})")
+    if "sbo" in reactions.columns:
+        said = said | F.coalesce(F.col("sbo").isin(*BOUNDARY_TERMS), F.lit(False))
+    if "objective" in reactions.columns:
+        said = said | (F.coalesce("objective", F.lit(0)) != 0)
+    flag = F.col("said") | ~F.col("has_sub") | ~F.col("has_prod") | (F.col("sub") != F.col("prod"))
+    return reactions.select(*REACTION, said.alias("said")).join(sides, REACTION, "left").select(*REACTION, F.coalesce(flag, F.lit(True)).alias("boundary"))
 
 
 def transport_flags(stoich: DataFrame) -> DataFrame:

@@ -156,7 +156,7 @@ SELECT model_id, metabolite_id, subsystem FROM c QUALIFY row_number() OVER (PART
 c AS (SELECT model_id, subsystem, phrase, count(*) AS n FROM ph WHERE subsystem IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
 x AS (SELECT model_id, subsystem, phrase, n / size::DOUBLE * ln((SELECT count(*) + 1 FROM r) / (df + 1)::DOUBLE) * (1e0 + 0.6e0 * (len(string_split(phrase, ' ')) - 1)) AS score FROM c JOIN sz USING (model_id, subsystem) JOIN df USING (phrase) WHERE n >= 0.05 * size)
 SELECT model_id, subsystem, rank, phrase, floor(score * 1000)::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY model_id, subsystem ORDER BY score DESC, phrase DESC) AS rank FROM x) WHERE rank <= 3""",
-    "keyword_superclass": MODEL + _END + f"SELECT rxn_row, {_label('subsystem')} AS label, regexp_matches(trim(subsystem), '(?i)^(?:unassigned|unknown|other|none|miscellaneous|no subsystem)$|^cluster_') AS structural FROM r",
+    "keyword_superclass": MODEL + _END + f"SELECT rxn_row, {_label('subsystem')} AS label, regexp_matches(trim(subsystem), '(?i)^(?:unannotated|others?|uncategorized|unassigned|miscellaneous)(?: [0-9]+)?(?: \\([0-9]+\\))?$|^cluster_') AS structural FROM r",
     "class_votes": MODEL + f"""v AS (SELECT model_id, {_label('subsystem')} AS label, count(*) AS n FROM r GROUP BY ALL),
 x AS (SELECT *, sum(n) FILTER (label IS NOT NULL) OVER (PARTITION BY model_id) AS voters, sum(n) OVER (PARTITION BY model_id) AS size FROM v)
 SELECT model_id, CASE WHEN n >= 0.4 * voters AND voters >= 0.25 * size THEN label END AS label, n, voters::BIGINT AS voters, size::BIGINT AS size FROM x WHERE label IS NOT NULL QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY n DESC, label) = 1""",

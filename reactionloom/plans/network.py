@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +35,15 @@ class Model:
     def scores(self) -> DataFrame:
         return N.cofactor_scores(N.degrees(self.stoich))
 
+    @cached_property
+    def base(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Entries, metabolites and scores, each written once: the pairs read them several times."""
+        stoich = written(self.stoich, "stoich")
+        return stoich, written(self.metabolites, "metabolites"), written(N.cofactor_scores(N.degrees(stoich)), "scores")
+
     @property
     def candidates(self) -> DataFrame:
-        return N.candidate_pairs(self.stoich, self.metabolites, self.scores)
+        return N.candidate_pairs(*self.base)
 
     @property
     def edges(self) -> DataFrame:
@@ -84,7 +92,7 @@ def currency_filter(spark, folder):
 
 def boundary_flag(spark, folder):
     m = Model(spark, folder)
-    return N.boundary_flags(m.reactions, m.stoich, m.scores)
+    return N.boundary_flags(m.reactions, m.stoich)
 
 
 def transport_flag(spark, folder):
@@ -237,8 +245,8 @@ coalesce(array_to_string(list_sort(list(DISTINCT metabolite_id) FILTER (coeffici
     "degree": BASE + _END + "SELECT * FROM deg",
     "cofactor_score": BASE + _END + "SELECT model_id, metabolite_id, degree, floor(score * 1000000)::BIGINT AS score FROM cof",
     "currency_filter": BASE + _END + "SELECT model_id, rid, pos, metabolite_id FROM bb",
-    "boundary_flag": BASE + """sides AS (SELECT model_id, rid, bool_or(coefficient < 0) AS hs, bool_or(coefficient > 0) AS hp, bool_or(coefficient < 0 AND coalesce(score, 0) < 0.5) AS bs, bool_or(coefficient > 0 AND coalesce(score, 0) < 0.5) AS bp
-FROM s LEFT JOIN cof USING (model_id, metabolite_id) GROUP BY ALL)
+    "boundary_flag": BASE + f"""sides AS (SELECT model_id, rid, bool_or(coefficient < 0) AS hs, bool_or(coefficient > 0) AS hp, bool_or(coefficient < 0 AND main) AS bs, bool_or(coefficient > 0 AND main) AS bp
+FROM (SELECT *, {_species('metabolite_id')} NOT IN ({_list('atp adp amp gtp gdp gmp utp udp ump ctp cdp cmp pi ppi pppi nad nadh nadp nadph fad fadh2 fmn fmnh2 coa co2 o2 h2o2 nh4 gthrd gthox q8 q8h2 mqn8 mql8 trdox trdrd h h2o'.split())}) AS main FROM s) GROUP BY ALL)
 SELECT model_id, rid, coalesce(regexp_matches(upper(rid), '^(EX_|DM_|SK_|BIOMASS|ATPM)') OR NOT hs OR NOT hp OR bs <> bp, true) AS boundary FROM r LEFT JOIN sides USING (model_id, rid)""",
     "transport_flag": BASE + _END + "SELECT model_id, rid, array_to_string(list_sort(list(sp)), ' ') AS moved, count(*) AS n_moved FROM moved GROUP BY model_id, rid",
     "reversible_flag": BASE + _END + "SELECT model_id, rid, coalesce(lower_bound, 0) < 0 AND coalesce(upper_bound, 0) > 0 AS by_bounds, (coalesce(lower_bound, 0) < 0 AND coalesce(upper_bound, 0) > 0) = reversible AS agrees FROM r",

@@ -17,9 +17,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. Where that is unset (local tests), the application gets one of its own."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, an application with a local master gets one of its own."""
     folder = spark.conf.get(SETTING, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{SETTING} must name a folder that all executors share")
         own = spark.sparkContext.applicationId
         folder = _OWN.get(own) or _OWN.setdefault(own, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return folder.rstrip("/")
