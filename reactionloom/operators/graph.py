@@ -89,35 +89,130 @@ def turned(edges: DataFrame) -> DataFrame:
     return edges.where("u <> v").groupBy("model_id", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.min(F.col("u") > F.col("v")).alias("reversed")).select("model_id", F.col("a").alias("u"), F.col("b").alias("v"), "reversed")
 
 
-def layers(edges: DataFrame) -> DataFrame:
-    """(model_id, node, layer) of every node that has an edge: longest path from a source, back edges turned round (`turned`)."""
-    edges = written(edges.select("model_id", "u", "v").distinct(), "edges")
-    dag = written(turned(edges).drop("reversed"), "dag")
-    nodes = edges.select("model_id", F.col("u").alias("node")).union(edges.select("model_id", "v")).distinct()
-    now = written(nodes.withColumn("layer", F.lit(0)), "layers")
+def cycles_condensed(edges: DataFrame, steps: int = 3) -> DataFrame:
+    """(model_id, node, component) of the nodes on cycles: the smallest node of each strongly connected component of two nodes or more.
+
+    Nodes without an edge in or out are on no cycle; they are taken away until all have both, `steps` times a round. Of what
+    is left, the smallest node that reaches a node spreads along the edges and colours it; what reaches the node that gave
+    its colour, within the colour, is one component. Components are taken away and the rest starts anew.
+    """
+    e = written(edges.where("u <> v").select("model_id", "u", "v").distinct(), "edges")
+    found: DataFrame | None = None
+    node = lambda df, c: df.select("model_id", F.col(c).alias("node")).distinct()
+    none = e.limit(0).select("model_id", F.col("u").alias("node"), F.col("u").alias("component"))
+
+    def spread(now: DataFrame, over: DataFrame, start: str, end: str, pick) -> DataFrame:
+        """`now` (model_id, node, c) with c carried along the edges from `start` to `end` until nothing changes."""
+        while True:
+            offers = over.join(now.select("model_id", F.col("node").alias(start), "c"), ["model_id", start]).groupBy("model_id", F.col(end).alias("node")).agg(pick("c").alias("offer"))
+            seen = Observation()
+            best = F.least("offer", "c") if pick is F.min else F.greatest("offer", "c")  # nulls are no offers
+            new = now.join(offers, ["model_id", "node"], "left").select("model_id", "node", best.alias("c"), (best != F.col("c")).alias("moved"))
+            now = written(new.observe(seen, F.coalesce(F.sum(F.col("moved").cast("int")), F.lit(0)).alias("n")), "colours").drop("moved")
+            if not seen.get["n"]:
+                return now
+
+    while True:
+        size = None
+        while True:  # take away what lies on no cycle
+            for _ in range(steps):
+                e = _inner_edges(e)
+            seen = Observation()
+            e = written(e.observe(seen, F.count("*").alias("n")), "core")
+            if seen.get["n"] == size or not seen.get["n"]:
+                break
+            size = seen.get["n"]
+        if not seen.get["n"]:
+            return found if found is not None else none
+        nodes = node(e, "u").withColumn("c", F.col("node"))
+        colours = spread(nodes, e, "u", "v", F.min)
+        same = e.join(colours.select("model_id", F.col("node").alias("u"), F.col("c").alias("cu")), ["model_id", "u"]).join(colours.select("model_id", F.col("node").alias("v"), F.col("c").alias("cv")), ["model_id", "v"])
+        same = written(same.where("cu = cv").select("model_id", "u", "v"), "colours")
+        # 1 for what reaches the node that gave the colour.
+        reach = spread(colours.select("model_id", "node", (F.col("node") == F.col("c")).cast("int").alias("c")), same, "v", "u", F.max)
+        part = reach.where("c = 1").select("model_id", "node").join(colours.withColumnRenamed("c", "component"), ["model_id", "node"])
+        part = written(part, "components")
+        several = part.groupBy("model_id", "component").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        several = part.join(several, ["model_id", "component"]).select("model_id", "node", "component")
+        found = several if found is None else found.unionByName(several)
+        gone = part.select("model_id", "node")
+        e = written(e.join(gone.withColumnRenamed("node", "u"), ["model_id", "u"], "left_anti").join(gone.withColumnRenamed("node", "v"), ["model_id", "v"], "left_anti"), "core")
+
+
+def _inner_edges(e: DataFrame) -> DataFrame:
+    """Edges whose start is an end and whose end is a start of an edge."""
+    starts = e.select("model_id", F.col("u").alias("v")).distinct()
+    ends = e.select("model_id", F.col("v").alias("u")).distinct()
+    return e.join(starts, ["model_id", "v"], "left_semi").join(ends, ["model_id", "u"], "left_semi").select("model_id", "u", "v")
+
+
+def longest_paths(dag: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(model_id, node, layer) of `nodes`: longest path from a source along the edges of `dag`, which has no cycle."""
+    dag = written(dag.select("model_id", "u", "v").distinct(), "dag")
+    now = written(nodes.select("model_id", "node").distinct().withColumn("layer", F.lit(0)), "layers")
     while True:
         offers = dag.join(now.withColumnRenamed("node", "u"), ["model_id", "u"]).groupBy("model_id", F.col("v").alias("node")).agg((F.max("layer") + 1).alias("offer"))
-        new = written(now.join(offers, ["model_id", "node"], "left").select("model_id", "node", F.greatest("layer", "offer").alias("layer"), (F.col("offer") > F.col("layer")).alias("moved")), "layers")
-        now = new.drop("moved")
-        if new.where("moved").isEmpty():
+        seen = Observation()
+        new = now.join(offers, ["model_id", "node"], "left").select("model_id", "node", F.greatest("layer", "offer").alias("layer"), F.coalesce(F.col("offer") > F.col("layer"), F.lit(False)).alias("moved"))
+        now = written(new.observe(seen, F.coalesce(F.sum(F.col("moved").cast("int")), F.lit(0)).alias("n")), "layers").drop("moved")
+        if not seen.get["n"]:
             return now
 
 
-def proper_edges(edges: DataFrame, layer: DataFrame) -> DataFrame:
-    """Edges, back edges turned round, cut at every layer they pass: (model_id, from_layer, a, b); a cut point is `u>v@layer`."""
-    dag = turned(edges).drop("reversed")
+def ends(edges: DataFrame) -> DataFrame:
+    return edges.select("model_id", F.col("u").alias("node")).union(edges.select("model_id", "v")).distinct()
+
+
+def layers(edges: DataFrame) -> DataFrame:
+    """(model_id, node, layer) of every node that has an edge: longest path from a source over all edges.
+
+    The nodes of a cycle share a layer: a strongly connected component counts as one node. So no edge is dropped or turned
+    round, and the layers do not depend on what nodes are called.
+    """
+    edges = written(edges.select("model_id", "u", "v").distinct(), "edges")
+    whole = written(ends(edges).join(cycles_condensed(edges), ["model_id", "node"], "left").select("model_id", "node", F.coalesce("component", "node").alias("c")), "condensed")
+    at = lambda k: whole.select("model_id", F.col("node").alias(k), F.col("c").alias(f"c{k}"))
+    dag = edges.join(at("u"), ["model_id", "u"]).join(at("v"), ["model_id", "v"]).where("cu <> cv").select("model_id", F.col("cu").alias("u"), F.col("cv").alias("v"))
+    found = longest_paths(dag, whole.select("model_id", F.col("c").alias("node")))
+    return whole.join(found.withColumnRenamed("node", "c"), ["model_id", "c"]).select("model_id", "node", "layer")
+
+
+def turned_layers(edges: DataFrame) -> DataFrame:
+    """(model_id, node, layer) of every node that has an edge: longest path from a source, back edges turned round (`turned`)."""
+    edges = written(edges.select("model_id", "u", "v").distinct(), "edges")
+    return longest_paths(turned(edges), ends(edges))
+
+
+def proper_edges(lines: DataFrame, layer: DataFrame) -> DataFrame:
+    """Lines (model_id, u, v) cut at every layer they pass: (model_id, from_layer, a, b, flat); a cut point is `u>v@layer`.
+
+    A line within a layer, on a cycle, is one row and `flat`.
+    """
     at = lambda node, name: layer.select("model_id", F.col("node").alias(node), F.col("layer").alias(name))
-    x = dag.join(at("u", "lu"), ["model_id", "u"]).join(at("v", "lv"), ["model_id", "v"])
-    x = x.withColumn("from_layer", F.explode(F.sequence(F.col("lu"), F.col("lv") - 1)))
+    x = lines.select("model_id", "u", "v").where("u <> v").distinct().join(at("u", "lu"), ["model_id", "u"]).join(at("v", "lv"), ["model_id", "v"])
+    flat = F.col("lu") == F.col("lv")
+    x = x.withColumn("from_layer", F.explode(F.sequence(F.col("lu"), F.when(flat, F.col("lu")).otherwise(F.col("lv") - 1))))
     point = lambda k: F.when(k == F.col("lu"), F.col("u")).when(k == F.col("lv"), F.col("v")).otherwise(F.concat("u", F.lit(">"), "v", F.lit("@"), k.cast("string")))
-    return x.select("model_id", "from_layer", point(F.col("from_layer")).alias("a"), point(F.col("from_layer") + 1).alias("b"))
+    return x.select("model_id", "from_layer", F.when(flat, F.col("u")).otherwise(point(F.col("from_layer"))).alias("a"), F.when(flat, F.col("v")).otherwise(point(F.col("from_layer") + 1)).alias("b"), flat.alias("flat"))
 
 
 def layer_crossings(proper: DataFrame) -> DataFrame:
-    """Crossings between neighbouring layers when each layer is ordered by name: edges whose ends are in opposite order."""
-    half = lambda p: proper.select("model_id", "from_layer", F.col("a").alias(f"a{p}"), F.col("b").alias(f"b{p}"))
-    x = half("1").join(half("2"), ["model_id", "from_layer"]).where("a1 < a2 and b1 > b2")
-    return x.groupBy("model_id", "from_layer").agg(F.count("*").alias("n_crossings"))
+    """Crossings between neighbouring layers when each layer is ordered by name: edges whose ends are in opposite order.
+
+    Inversions are counted without pairs: two ends are in opposite order at the first binary digit in which their ranks
+    differ. For each digit, edges whose ranks agree before it are sorted by the other end, and each with a 0 counts those
+    with a 1 before it, so the work is that of sorting.
+    """
+    gap = ["model_id", "from_layer"]
+    rank = lambda c: F.dense_rank().over(W.partitionBy(*gap).orderBy(c))
+    x = proper.where("not flat").select(*gap, rank("a").alias("ra"), rank("b").alias("rb"))
+    # Every edge of a gap takes part in the digits of the greatest rank of the gap.
+    most = x.groupBy(*gap).agg(F.max("rb").alias("most"))
+    digits = x.join(most, gap).withColumn("digit", F.explode(F.expr("sequence(0, length(bin(most)) - 1)")))
+    digits = digits.select(*gap, "ra", "digit", F.expr("shiftright(rb, digit + 1)").alias("before"), F.expr("shiftright(rb, digit) & 1").alias("one"))
+    earlier = W.partitionBy(*gap, "digit", "before").orderBy("ra").rangeBetween(W.unboundedPreceding, -1)
+    counted = digits.withColumn("n", F.when(F.col("one") == 0, F.coalesce(F.sum("one").over(earlier), F.lit(0))).otherwise(0))
+    return counted.groupBy(*gap).agg(F.sum("n").alias("n_crossings")).where("n_crossings > 0")
 
 
 def hubs(edges: DataFrame, k: int = 3) -> DataFrame:

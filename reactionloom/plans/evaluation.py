@@ -122,17 +122,12 @@ def k_hop(spark, folder):
     return H.neighbourhood(b, m.reactions.where("seq < 3"), 2)
 
 
-def _rising(spark, folder):
-    """The edges that the SQL of the three queries below speaks of: those that go up in the order of names."""
-    return _edges(spark, folder).where("u < v")
-
-
 def layers(spark, folder):
-    return H.layers(_rising(spark, folder))
+    return H.layers(_edges(spark, folder))
 
 
 def proper_layering(spark, folder):
-    e = _rising(spark, folder)
+    e = _edges(spark, folder)
     return H.proper_edges(e, H.layers(e))
 
 
@@ -141,16 +136,17 @@ def layer_crossings(spark, folder):
 
 
 def layers_all(spark, folder):
-    return H.layers(_edges(spark, folder))
+    return H.turned_layers(_edges(spark, folder))
 
 
 def proper_layering_all(spark, folder):
     e = _edges(spark, folder)
-    return H.proper_edges(e, H.layers(e))
+    return H.proper_edges(H.turned(e), H.turned_layers(e)).drop("flat")
 
 
 def layer_crossings_all(spark, folder):
-    return H.layer_crossings(proper_layering_all(spark, folder))
+    e = _edges(spark, folder)
+    return H.layer_crossings(H.proper_edges(H.turned(e), H.turned_layers(e)))
 
 
 def node_places(spark, folder):
@@ -201,14 +197,26 @@ un AS (SELECT model_id, u, v FROM ce UNION SELECT model_id, v, u FROM ce),
 hb AS (SELECT model_id, u AS node, count(*) AS n, row_number() OVER (PARTITION BY model_id ORDER BY count(*) DESC, u) AS rank FROM un GROUP BY model_id, u),
 dg AS (SELECT model_id, u, v FROM ce WHERE u < v),
 """
-LAYERS = GRAPH + """
+TURNED = GRAPH + """
 pt AS (SELECT model_id, u AS node, 0 AS d FROM dg UNION SELECT model_id, v, 0 FROM dg UNION SELECT dg.model_id, dg.v, pt.d + 1 FROM pt JOIN dg ON dg.model_id = pt.model_id AND dg.u = pt.node),
 ly AS (SELECT model_id, node, max(d) AS layer FROM pt GROUP BY ALL),
 pe AS (SELECT dg.model_id, dg.u, dg.v, a.layer AS lu, b.layer AS lv, unnest(range(a.layer, b.layer))::INT AS from_layer FROM dg JOIN ly a ON a.model_id = dg.model_id AND a.node = dg.u JOIN ly b ON b.model_id = dg.model_id AND b.node = dg.v),
 pr AS (SELECT model_id, from_layer, CASE WHEN from_layer = lu THEN u ELSE u || '>' || v || '@' || from_layer END AS a, CASE WHEN from_layer + 1 = lv THEN v ELSE u || '>' || v || '@' || (from_layer + 1) END AS b FROM pe),
 """
-#: The same over all edges, back edges turned round.
-LAYERS_ALL = LAYERS.replace("dg AS (SELECT model_id, u, v FROM ce WHERE u < v)", "dg AS (SELECT DISTINCT model_id, least(u, v) AS u, greatest(u, v) AS v FROM ce WHERE u <> v)")
+#: Over all edges, back edges turned round.
+LAYERS_ALL = TURNED.replace("dg AS (SELECT model_id, u, v FROM ce WHERE u < v)", "dg AS (SELECT DISTINCT model_id, least(u, v) AS u, greatest(u, v) AS v FROM ce WHERE u <> v)")
+#: Over all edges, nodes that reach one another counted as one.
+LAYERS = GRAPH + """
+rc AS (SELECT model_id, u, v FROM ce WHERE u <> v UNION SELECT rc.model_id, rc.u, ce.v FROM rc JOIN ce ON ce.model_id = rc.model_id AND ce.u = rc.v),
+nd AS (SELECT model_id, u AS node FROM ce UNION SELECT model_id, v FROM ce),
+sc AS (SELECT nd.model_id, node, least(node, coalesce(min(x.v), node)) AS c FROM nd LEFT JOIN (SELECT p.model_id, p.u, p.v FROM rc p JOIN rc q ON p.model_id = q.model_id AND p.u = q.v AND p.v = q.u) x ON x.model_id = nd.model_id AND x.u = node GROUP BY nd.model_id, node),
+dc AS (SELECT DISTINCT ce.model_id, a.c AS u, b.c AS v FROM ce JOIN sc a ON a.model_id = ce.model_id AND a.node = ce.u JOIN sc b ON b.model_id = ce.model_id AND b.node = ce.v WHERE a.c <> b.c),
+pt AS (SELECT DISTINCT model_id, c AS node, 0 AS d FROM sc UNION SELECT dc.model_id, dc.v, pt.d + 1 FROM pt JOIN dc ON dc.model_id = pt.model_id AND dc.u = pt.node),
+lc AS (SELECT model_id, node, max(d) AS layer FROM pt GROUP BY ALL),
+ly AS (SELECT sc.model_id, sc.node, layer FROM sc JOIN lc ON lc.model_id = sc.model_id AND lc.node = sc.c),
+pe AS (SELECT ce.model_id, ce.u, ce.v, a.layer AS lu, b.layer AS lv, unnest(range(a.layer, greatest(b.layer, a.layer + 1)))::INT AS from_layer FROM ce JOIN ly a ON a.model_id = ce.model_id AND a.node = ce.u JOIN ly b ON b.model_id = ce.model_id AND b.node = ce.v WHERE ce.u <> ce.v),
+pr AS (SELECT model_id, from_layer, CASE WHEN from_layer = lu THEN u ELSE u || '>' || v || '@' || from_layer END AS a, CASE WHEN lu = lv OR from_layer + 1 = lv THEN v ELSE u || '>' || v || '@' || (from_layer + 1) END AS b, lu = lv AS flat FROM pe),
+"""
 _END = "done AS (SELECT 1) "
 ORACLE = {
     "agreement": REF + _END + "SELECT * FROM ag",
@@ -237,7 +245,7 @@ SELECT model_id, rid, min(h)::INT AS hops FROM (SELECT *, 0 AS h FROM h0 UNION A
     "metric_transform_all": WHOLE + "SELECT map_id, metric, floor(CASE WHEN metric = 'aspect_ratio' THEN abs(ln(value)) WHEN metric = 'hairball_index' THEN greatest(value - 3e0, 0e0) WHEN metric LIKE 'label%' OR metric = 'crossings_per_edge' THEN value ELSE -value END * 1000)::BIGINT AS cost FROM wl",
     "layers": LAYERS + _END + "SELECT * FROM ly",
     "proper_layering": LAYERS + _END + "SELECT * FROM pr",
-    "layer_crossings": LAYERS + _END + "SELECT model_id, from_layer, count(*) AS n_crossings FROM pr x JOIN pr y USING (model_id, from_layer) WHERE x.a < y.a AND x.b > y.b GROUP BY ALL",
+    "layer_crossings": LAYERS + _END + "SELECT model_id, from_layer, count(*) AS n_crossings FROM pr x JOIN pr y USING (model_id, from_layer) WHERE x.a < y.a AND x.b > y.b AND NOT x.flat AND NOT y.flat GROUP BY ALL",
     "layers_all": LAYERS_ALL + _END + "SELECT * FROM ly",
     "proper_layering_all": LAYERS_ALL + _END + "SELECT * FROM pr",
     "layer_crossings_all": LAYERS_ALL + _END + "SELECT model_id, from_layer, count(*) AS n_crossings FROM pr x JOIN pr y USING (model_id, from_layer) WHERE x.a < y.a AND x.b > y.b GROUP BY ALL",

@@ -2,7 +2,7 @@
 
 import random
 
-from reactionloom.operators.graph import components, connected
+from reactionloom.operators.graph import components, connected, cycles_condensed, layer_crossings, layers
 from reactionloom.operators.ranks import ranked
 
 
@@ -34,3 +34,42 @@ def test_ranks_of_a_split_group(spark):
     got = ranked(rows, ["k"], ["i"], per_task=7).collect()
     assert sorted(r["rank"] for r in got if r["k"] == "hot") == list(range(50))
     assert sorted((r["i"], r["rank"]) for r in got if r["k"] == "b") == [(1, 0), (2, 1)]
+
+
+def graph(spark, edges):
+    return spark.createDataFrame([("m", u, v) for u, v in edges], "model_id string, u string, v string")
+
+
+def test_layers_over_all_edges_do_not_depend_on_names(spark):
+    # z -> a -> b -> c -> a is entered from z and left to d; one more edge leads back into the cycle, one goes round it.
+    edges = [("z", "a"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("z", "e"), ("y", "y"), ("e", "f"), ("f", "e")]
+    want = {"z": 0, "a": 1, "b": 1, "c": 1, "d": 2, "e": 3, "f": 3, "y": 0}
+    assert {r["node"]: r["layer"] for r in layers(graph(spark, edges)).collect()} == want
+    other = dict(zip("zabcdefy", "adzyxwbc", strict=True))
+    renamed = layers(graph(spark, [(other[u], other[v]) for u, v in edges])).collect()
+    assert {r["node"]: r["layer"] for r in renamed} == {other[n]: k for n, k in want.items()}
+
+
+def test_cycles_against_reachability(spark):
+    rng = random.Random(14)
+    edges = {(str(rng.randrange(25)), str(rng.randrange(25))) for _ in range(34)}
+    reach = {e for e in edges if e[0] != e[1]}
+    while True:
+        more = {(a, d) for a, b in reach for c, d in reach if b == c} - reach
+        if not more:
+            break
+        reach |= more
+    want = {a: min(b for b in {x for p in reach for x in p} if b == a or (a, b) in reach and (b, a) in reach) for a, b in reach if (b, a) in reach and a != b}
+    assert {r["node"]: r["component"] for r in cycles_condensed(graph(spark, edges)).collect()} == want and want
+
+
+def test_crossings_against_pairs(spark):
+    rng = random.Random(15)
+    rows = list({("m", rng.randrange(2), str(rng.randrange(30)), str(rng.randrange(30)), False) for _ in range(120)})
+    want = {}
+    for i, (_, k, a, b, _) in enumerate(rows):
+        for _, q, c, d, _ in rows[i + 1 :]:
+            if k == q and (a < c and b > d or c < a and d > b):
+                want[k] = want.get(k, 0) + 1
+    got = layer_crossings(spark.createDataFrame(rows, "model_id string, from_layer int, a string, b string, flat boolean")).collect()
+    assert {r["from_layer"]: r["n_crossings"] for r in got} == want
