@@ -6,6 +6,7 @@ the same map is compared, each pair once. Extents and histograms are plain aggre
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -319,3 +320,62 @@ def worst(banded: DataFrame, n: int = 20) -> DataFrame:
     """The maps that fail most gates, most failures first."""
     failed = banded.groupBy("map_id").agg(F.sum((~F.col("within")).cast("int")).alias("n_failed"))
     return failed.orderBy(F.desc("n_failed"), "map_id").limit(n)
+
+
+def bezier_pieces(segs: DataFrame, steps: int = 10) -> DataFrame:
+    """(map_id, seg_id, n_pieces, length): segments with both control points, measured over `steps` straight pieces."""
+    bent = segs.where("b1 is not null and b2 is not null")
+    pieces = ink(bent.withColumn("n1", F.col("seg_id")), steps).withColumnRenamed("n1", "seg_id")
+    return pieces.groupBy("map_id", "seg_id").agg(F.count("*").alias("n_pieces"), F.sum(length()).alias("length"))
+
+
+def arc_controls(segs: DataFrame) -> DataFrame:
+    """(map_id, seg_id, bend, c1x, c1y, c2x, c2y, sagitta): the arc of each segment about the centre of its drawn reaction.
+
+    The arc goes the short way, half a turn to the left; its control points stand on the tangents, 4/3 tan(angle/4) radii from the ends. Segments
+    with an end at the centre, or whose ends are in one direction from it, have no arc. `sagitta` is how far the arc is from the
+    chord, to the left of start to end.
+    """
+    points = segs.select("map_id", "rid", F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p")).select("map_id", "rid", "p.x", "p.y").distinct()
+    centre = points.groupBy("map_id", "rid").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    x = segs.join(centre, ["map_id", "rid"]).select("map_id", "seg_id", "x1", "y1", "x2", "y2", "cx", "cy", (F.col("x1") - F.col("cx")).alias("ax"), (F.col("y1") - F.col("cy")).alias("ay"), (F.col("x2") - F.col("cx")).alias("bx"), (F.col("y2") - F.col("cy")).alias("by"))
+    c = F.col
+    bend = F.atan2(c("ax") * c("by") - c("ay") * c("bx"), c("ax") * c("bx") + c("ay") * c("by"))
+    bend = F.when(F.abs(bend) > math.pi - 1e-6, math.pi).otherwise(bend)  # half a turn goes to the left
+    x = x.withColumn("bend", bend).withColumn("radius", (F.sqrt(c("ax") * c("ax") + c("ay") * c("ay")) + F.sqrt(c("bx") * c("bx") + c("by") * c("by"))) / 2)
+    x = x.where((c("ax") * c("ax") + c("ay") * c("ay") >= 1e-6) & (c("bx") * c("bx") + c("by") * c("by") >= 1e-6) & (F.abs("bend") >= 1e-6)).withColumn("k", F.tan(c("bend") / 4) * 4 / 3).withColumn("chord", length())
+    # The chord's middle from the centre, along the left normal of start to end.
+    towards = ((c("ax") + c("bx")) / 2 * -(c("y2") - c("y1")) + (c("ay") + c("by")) / 2 * (c("x2") - c("x1"))) / c("chord")
+    x = x.where("chord > 0").withColumn("towards", towards)
+    sagitta = F.when(F.abs("towards") < 1e-6, c("radius")).otherwise(F.signum("towards") * (c("radius") - F.abs("towards")))
+    return x.select("map_id", "seg_id", "bend", (c("x1") - c("k") * c("ay")).alias("c1x"), (c("y1") + c("k") * c("ax")).alias("c1y"), (c("x2") + c("k") * c("by")).alias("c2x"), (c("y2") - c("k") * c("bx")).alias("c2y"), sagitta.alias("sagitta"))
+
+
+def ring_radius(n: Column, pitch: float = PITCH) -> Column:
+    """Radius on which `n` nodes stand about one pitch apart, at least one pitch."""
+    return F.greatest(F.lit(pitch), n * pitch / (2 * math.pi))
+
+
+def unrelated_hits(hits: DataFrame, segs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`hits` (map_id, seg_id, node_id) of edges through nodes between unrelated reactions only.
+
+    The segment's reaction and one of the node's are related if they are the same or both touch one metabolite node.
+    """
+    drawn = segs.where("rid is not null").select("map_id", "seg_id", "rid")
+    owners = node_owners(segs)
+    x = hits.join(drawn, ["map_id", "seg_id"]).join(owners.withColumnRenamed("rid", "other"), ["map_id", "node_id"])
+    touch = owners.join(nodes.where("node_type = 'metabolite'").select("map_id", "node_id"), ["map_id", "node_id"], "left_semi")
+    pairs = x.select("map_id", "rid", "other").distinct()
+    both = pairs.join(touch.withColumnRenamed("node_id", "shared"), ["map_id", "rid"]).join(touch.select("map_id", F.col("rid").alias("other"), F.col("node_id").alias("shared")), ["map_id", "other", "shared"], "left_semi")
+    related = pairs.where("rid = other").union(both.select("map_id", "rid", "other")).distinct()
+    near = x.join(related, ["map_id", "rid", "other"], "left_semi").select("map_id", "seg_id", "node_id").distinct()
+    return hits.join(near, ["map_id", "seg_id", "node_id"], "left_anti")
+
+
+def merged_maps(nodes: DataFrame, segs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, segments) of all maps as one: ids have the map's before them, reactions drawn on several maps the map's behind."""
+    name = lambda c: F.concat(F.col("map_id").cast("string"), F.lit("_"), F.col(c).cast("string"))
+    clash = segs.select("rid", "map_id").distinct().groupBy("rid").agg((F.count("*") > 1).alias("clash"))
+    lines = segs.join(clash, "rid", "left")
+    rid = F.when(F.coalesce("clash", F.lit(False)), F.concat("rid", F.lit("~"), F.col("map_id").cast("string"))).otherwise(F.col("rid"))
+    return nodes.select(name("node_id").alias("id"), "node_type", "bigg_id", "x", "y"), lines.select(name("seg_id").alias("id"), rid.alias("rid"), name("n1").alias("from_id"), name("n2").alias("to_id"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from reactionloom.functions.text import phrases, superclass, tokens
+from reactionloom.functions.text import UNINFORMATIVE, phrases, superclass, tokens
 
 REACTION = ["model_id", "rid"]
 
@@ -101,3 +101,75 @@ def selection(reasons: list[tuple[str, DataFrame]]) -> DataFrame:
         part = chosen.select(*REACTION).distinct().withColumn("order", F.lit(order)).withColumn("why", F.lit(why))
         rows = part if rows is None else rows.unionByName(part)
     return rows.groupBy(*REACTION).agg(F.min_by("why", "order").alias("why"), F.count("*").alias("n_reasons"))
+
+
+#: Fixed values of a cluster's name: least share and score of the strict and of the relaxed pass, and its greatest length.
+STRICT, RELAXED, MOST_LABEL = (0.3, 0.25), (0.15, 0.12), 46
+
+
+def cluster_names(reactions: DataFrame, cluster: str = "subsystem", min_count: int = 2) -> DataFrame:
+    """(model_id, cluster, label, strict): a name for each cluster out of the names of its reactions; clusters that say nothing are left out.
+
+    Phrases are scored by share, rarity in the model and length. Those of the strict pass count if the best is good enough,
+    else those of the relaxed pass. A single general word gives way to the best phrase that says more, if there is one. A
+    second phrase without a word of the first is added if it is not much worse and the label stays short.
+    """
+    key = ["model_id", cluster]
+    rows = reactions.where(F.col(cluster).isNotNull())
+    said = reactions.select("model_id", cluster, F.explode(phrases(tokens(F.col("name")))).alias("phrase"))
+    whole = said.groupBy("model_id", "phrase").agg(F.count("*").alias("df"))
+    total = reactions.groupBy("model_id").agg(F.count("*").alias("total"))
+    counts = said.where(F.col(cluster).isNotNull()).groupBy(*key, "phrase").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
+    x = counts.join(rows.groupBy(*key).agg(F.count("*").alias("size")), key).join(total, "model_id").join(whole, ["model_id", "phrase"])
+    share = F.col("n") / F.col("size")
+    score = share * F.log((F.col("total") + 1) / (F.col("df") + 1)) * (1.0 + 0.6 * (F.size(F.split("phrase", " ")) - 1))
+    x = x.withColumn("share", share).where(F.col("share") >= RELAXED[0])
+    x = x.select(*key, "phrase", "share", F.floor(score * 1_000_000_000).alias("score"), (~F.col("phrase").isin(*UNINFORMATIVE)).alias("says"))
+    tops = x.groupBy(*key).agg(F.max("score").alias("top"), F.max(F.when(F.col("share") >= STRICT[0], F.col("score"))).alias("strict_top"))
+    strict = F.coalesce(F.col("strict_top") >= STRICT[1] * 1_000_000_000, F.lit(False))
+    tops = tops.withColumn("strict", strict).where(F.col("strict") | (F.col("top") >= RELAXED[1] * 1_000_000_000)).select(*key, "strict")
+    pool = x.join(tops, key).where(~F.col("strict") | (F.col("share") >= STRICT[0]))
+    best = pool.groupBy(*key, "strict").agg(F.max(F.struct("says", "score", "phrase")).alias("b")).select(*key, "strict", F.col("b.score").alias("best_score"), F.col("b.phrase").alias("best"))
+    more = pool.where("says").drop("strict").join(best, key).where(F.col("score") >= 0.55 * F.col("best_score")).where(~F.arrays_overlap(F.split("phrase", " "), F.split("best", " ")))
+    second = more.groupBy(*key).agg(F.max(F.struct("score", "phrase")).alias("s")).select(*key, F.col("s.phrase").alias("second"))
+    capital = lambda c: F.concat(F.upper(F.left(c, F.lit(1))), F.substr(c, F.lit(2)))
+    both = F.concat_ws(" ", capital(F.col("best")), capital(F.col("second")))
+    label = F.when(F.length(both) > MOST_LABEL, capital(F.col("best"))).otherwise(both)
+    return best.join(second, key, "left").select(*key, F.regexp_replace(F.left(label, F.lit(MOST_LABEL)), "[ ,-]+$", "").alias("label"), "strict")
+
+
+def themes(reactions: DataFrame, piece: list[str], theme: str, order: str = "seq") -> DataFrame:
+    """(piece, n, theme): what the reactions of a piece are about: one theme of half of them, or two of three in five; else null."""
+    counted = reactions.groupBy(*piece, theme).agg(F.count("*").alias("k"), F.min(order).alias("first"))
+    w = W.partitionBy(*piece)
+    ranked = counted.withColumn("n", F.sum("k").over(w)).where(F.col(theme).isNotNull() & (F.col(theme) != ""))
+    ranked = ranked.withColumn("place", F.row_number().over(w.orderBy(F.desc("k"), "first"))).where("place <= 2")
+    at = lambda i, c: F.max(F.when(F.col("place") == i, F.col(c)))
+    two = ranked.groupBy(*piece, "n").agg(at(1, "k").alias("k1"), at(1, theme).alias("t1"), at(2, "k").alias("k2"), at(2, theme).alias("t2"))
+    text = F.when(F.col("k1") >= 0.5 * F.col("n"), F.col("t1")).when(F.col("k1") + F.col("k2") >= 0.6 * F.col("n"), F.concat_ws(" / ", "t1", "t2"))
+    sizes = reactions.groupBy(*piece).agg(F.count("*").alias("n"))
+    return sizes.join(two.select(*piece, text.alias("theme")), piece, "left")
+
+
+def split_caption(caption: Column) -> tuple[Column, Column]:
+    """(family, qualifier): the parts before and after the first `: `, the family without a number in brackets at its end."""
+    at = F.instr(caption, ": ")
+    family = F.when(at > 0, F.left(caption, at - 1)).otherwise(caption)
+    return F.regexp_replace(family, r" \([0-9]+\)$", ""), F.when(at > 0, F.substr(caption, at + 2)).otherwise("")
+
+
+def unified_primary(nodes: DataFrame, compound: Column, never: tuple[str, ...]) -> DataFrame:
+    """`nodes` (map_id, bigg_id, primary, ...) with one value for each compound of a map.
+
+    A compound that is primary somewhere on the map is so everywhere; one of `never` is not, unless nothing else is.
+    """
+    w = W.partitionBy("map_id", "bigg_id")
+    anywhere = nodes.withColumn("primary", F.max(F.coalesce("primary", F.lit(False))).over(w)).withColumn("_never", F.coalesce(compound.isin(*never), F.lit(False)))
+    left = anywhere.groupBy("map_id").agg(F.max(F.col("primary") & ~F.col("_never")).alias("_left"))
+    return anywhere.join(left, "map_id").withColumn("primary", F.col("primary") & ~(F.col("_never") & F.col("_left"))).drop("_never", "_left")
+
+
+def pathway_header(drawn: DataFrame, groups: DataFrame) -> DataFrame:
+    """(map_id, name, region, reactions): which pathway each reaction (map_id, rid) of a map belongs to, by `groups` (name, region, rid, seq)."""
+    x = drawn.select("map_id", "rid").distinct().join(groups.select("name", "region", "rid", "seq").distinct(), "rid")
+    return x.groupBy("map_id", "name", "region").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "rid"))), lambda s: s["rid"]).alias("reactions"))

@@ -133,7 +133,7 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.when(known, F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(0.0)
 
 
-def candidate_pairs(stoich: DataFrame, metabolites: DataFrame, scores: DataFrame) -> DataFrame:
+def candidate_pairs(stoich: DataFrame, metabolites: DataFrame, scores: DataFrame, damping: float = DAMPING) -> DataFrame:
     """Substrate-product pairs of each reaction with their tier (0 best) and value; pairs of value 0 are no candidates.
 
     The self-join is within one reaction, whose number of participants is small; the atoms of both join it before.
@@ -153,15 +153,15 @@ def candidate_pairs(stoich: DataFrame, metabolites: DataFrame, scores: DataFrame
     known = (F.coalesce("s_formula", F.lit("")) != "") & (F.coalesce("p_formula", F.lit("")) != "")
     by_name = 0.05 + 0.9 * trigram_similarity(F.lower(F.coalesce("s_name", "s_id")), F.lower(F.coalesce("p_name", "p_id")))
     value = F.when(chemistry != 0, chemistry).when(same, F.when(F.col("s_sp").isin(*SUPPRESSED), 0.1).otherwise(1.0)).when(~known, by_name).otherwise(0.0)
-    value = value * (1.0 - DAMPING * F.col("s_cof")) * (1.0 - DAMPING * F.col("p_cof"))
+    value = value * (1.0 - damping * F.col("s_cof")) * (1.0 - damping * F.col("p_cof"))
     value = value * (1.0 - 0.1 * F.least(F.col("s_deg") + F.col("p_deg"), F.lit(2000)) / 2000.0)
     value = F.when(F.col("s_place") == F.col("p_place"), value * 1.02).otherwise(value)
     return x.select(*REACTION, F.col("s_id").alias("substrate"), F.col("p_id").alias("product"), tier.alias("tier"), value.alias("value")).where("value > 0")
 
 
-def main_pairs(candidates: DataFrame) -> DataFrame:
-    """The pair of the best tier with the greatest value; equal values by substrate, then product."""
-    order = W.partitionBy(*REACTION).orderBy("tier", F.desc("value"), "substrate", "product")
+def main_pairs(candidates: DataFrame, tiers: bool = True) -> DataFrame:
+    """The pair of the best tier (any tier, without `tiers`) with the greatest value; equal values by substrate, then product."""
+    order = W.partitionBy(*REACTION).orderBy(*(["tier"] if tiers else []), F.desc("value"), "substrate", "product")
     return candidates.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reactionloom.plans import drawing, evaluation, identity, integrity, naming, network, output
+from reactionloom.plans import drawing, evaluation, identity, integrity, naming, network, output, pieces
 
-MODULES = (network, identity, naming, evaluation, drawing, output, integrity)
+MODULES = (network, identity, naming, evaluation, drawing, pieces, output, integrity)
 FLAGSHIP = "main_pair"
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
