@@ -109,9 +109,8 @@ def probed_references(refs: DataFrame, rows: DataFrame, blocks: int | None = Non
 
 
 def verified(refs: DataFrame, rows: DataFrame, per_task: int = VERIFIED_ROWS) -> DataFrame:
-    """`refs` that no parent row (group, key, since, until) stands for at their time, with the `reason`."""
+    """`refs` that no parent row (group, key, since, until) stands for at their time, with the `reason`; copies stay copies."""
     key = ["group", "key"]
-    refs = refs.distinct()
     parts = refs.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > per_task).select(*key, F.ceil(F.col("_n") / per_task).cast("int").alias("_parts"))
     # Rows that begin together are one: where one of them is not deleted it has no end, else the latest end counts.
     ends = F.max(F.struct(F.col("until").isNull().alias("open"), "until"))
