@@ -115,6 +115,9 @@ class Tables:
     pairs: dict[tuple[str, str], str] = field(default_factory=dict)
     singles: dict[str, str] = field(default_factory=dict)
     clusters: dict[str, str] = field(default_factory=dict)
+    #: Marks that are drawn on the character before them, and characters after which a joiner changes what is drawn.
+    marks: str = ""
+    joins: str = ""
 
     @cached_property
     def transducer(self) -> Transducer:
@@ -203,10 +206,14 @@ def build_tables(letters: dict[str, str]) -> Tables:
             if len(two) == 2:
                 t.pairs[(two[0], two[1])] = ch
                 with_accents.append(ch)
+    everything = [chr(c) for c in range(sys.maxunicode + 1)]
+    joining = [chr(c) for r in _JOINING for c in r if u.category(chr(c)) in ("Lo", "Lm", "Mn", "Mc")]
+    t.joins = "".join([*joining, "\ufe0f", *(ch for ch in everything[0x2190:] if u.category(ch) in ("So", "Sk"))])
     for ch in t.parts:
         look = t.look(ch)
         if look != ch:
             t.singles[ch] = look
+    t.marks = "".join(ch for ch in everything if u.category(ch) in ("Mn", "Mc", "Me") and ch not in t.singles)
     alike: dict[str, list[str]] = {}
     for ch, look in t.singles.items():
         if len(look) == 1 and look not in t.order:
@@ -244,29 +251,27 @@ class Transducer:
         self.tables = tables
         self._translate = str.maketrans(tables.singles)
         self._nothing = str.maketrans(dict.fromkeys((c for c, look in tables.singles.items() if not look), ""))
-        everything = [chr(c) for c in range(sys.maxunicode + 1)]
-        self._marks = [ch for ch in everything if u.category(ch) in ("Mn", "Mc", "Me") and ch not in tables.singles]
-        joining = [chr(c) for r in _JOINING for c in r if u.category(chr(c)) in ("Lo", "Lm", "Mn", "Mc")]
-        self._joins = [*joining, "\ufe0f", *(ch for ch in everything[0x2190:] if u.category(ch) in ("So", "Sk"))]
         self._beyond = re.compile("[\U00010000-\U0010ffff]").search
         self._plain = re.compile("[\t\n\r -~]*").fullmatch
         self._turned = re.compile(f"[{_TURNING}]").search
         self._memo: dict[str, str] = {}
+        self._made: dict[tuple[bool, bool], tuple] = {}
 
-    @cached_property
-    def _compiled(self) -> dict[tuple[bool, bool], tuple]:
-        return {(beyond, turned): self._compile(beyond, turned) for beyond in (False, True) for turned in (False, True)}
+    def _compiled(self, beyond: bool, turned: bool) -> tuple:
+        if (beyond, turned) not in self._made:
+            self._made[beyond, turned] = self._compile(beyond, turned)
+        return self._made[beyond, turned]
 
     def _compile(self, beyond: bool, turned: bool) -> tuple:
         fits = lambda chars: [c for c in chars if beyond or c <= "\uffff"]
         left = set(_JOINERS) | (set(_DIRECTION) if turned else set())
         mapped = [c for c in fits(self.tables.singles) if c not in left]
         none = _ranges([c for c in mapped if not self.tables.singles[c]])
-        mark, joins, runs, zw, jamo = _ranges(fits(self._marks)), _ranges(fits(self._joins)), _ranges(mapped), _JOINERS, "\u1100-\u11ff"
+        mark, joins, runs, zw, jamo = _ranges(fits(self.tables.marks)), _ranges(fits(self.tables.joins)), _ranges(mapped), _JOINERS, "\u1100-\u11ff"
         joiner = f"[{zw}](?<![{joins}][{zw}])[{zw}]*"  # a joiner that joins nothing
         cluster = f"[^{joins}][{none}{zw}]*[{mark}][{mark}{none}{zw}]*|[{joins}][{none}]*[{mark}][{mark}{none}]*"
         with_marks = re.compile(f"(?s:{cluster})|[{jamo}]+|[{runs}]+(?![{none}]*[{mark}])|{joiner}")
-        return re.compile(f"[{mark}{jamo}]").search, with_marks.sub, re.compile(f"[{runs}]+|{joiner}").sub
+        return re.compile(f"[{mark}{jamo}]").search, with_marks.sub, re.compile(f"[{runs}]+|{joiner}").sub, re.compile(f"[{runs}]+").sub
 
     def _look(self, match: re.Match) -> str:
         found = match.group()
@@ -286,13 +291,15 @@ class Transducer:
 
     @cached_property
     def _joined(self) -> frozenset[str]:
-        return frozenset(self._joins)
+        return frozenset(self.tables.joins)
 
     def form(self, text: str) -> str:
         if text.isascii() and self._plain(text):
             return text
-        has_marks, clusters, runs = self._compiled[self._beyond(text) is not None, self._turned(text) is not None]
-        return (clusters if has_marks(text) else runs)(self._look, text)
+        has_marks, clusters, runs, without_joiners = self._compiled(self._beyond(text) is not None, self._turned(text) is not None)
+        if has_marks(text):
+            return clusters(self._look, text)
+        return (runs if any(c in text for c in _JOINERS) else without_joiners)(self._look, text)
 
 
 @lru_cache(4)
