@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reactionloom.llm.lookalike import canonical_forms, lookalike_pairs
 from reactionloom.llm.packing import containers, pack, stored_sizes
-from reactionloom.llm.tokenizer import decode, encode, token_counts
+from reactionloom.llm.tokenizer import encode, round_trip, token_counts
 from reactionloom.sources.tables import table
 
 #: Tokens that a container holds.
@@ -24,11 +24,7 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, n_tokens, same): whether the ids decode to the text again, a null text to the empty one."""
-    docs = _documents(spark, folder)
-    ids = encode(docs)
-    back = decode(ids).withColumnRenamed("text", "back")
-    sizes = ids.select("doc_id", F.size("ids").alias("n_tokens"))
-    return docs.join(back, "doc_id").join(sizes, "doc_id").select("doc_id", "n_tokens", (F.coalesce("text", F.lit("")) == F.col("back")).alias("same"))
+    return round_trip(_documents(spark, folder))
 
 
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,6 +38,13 @@ def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return packed.withColumnsRenamed({"item": "doc_id", "start": "start_token", "size": "n_tokens"})
 
 
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: containers, tokens in them, the fewest containers that could hold them, and the unused space in tokens."""
+    used = p7_pieces(spark, folder).agg(F.countDistinct("container_id").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
+    least = F.ceil(F.col("n_tokens") / CAPACITY)
+    return used.select("n_containers", "n_tokens", least.alias("lower_bound"), (F.col("n_containers") * CAPACITY - F.col("n_tokens")).alias("unused"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike_pairs(_documents(spark, folder))
 
@@ -50,5 +53,5 @@ def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
     return canonical_forms(_documents(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_round_trip, p7_containers, p7_pieces, p8_found, p8_forms)}
+QUERIES = {f.__name__: f for f in (p6_ids, p6_round_trip, p7_containers, p7_pieces, p7_fill, p8_found, p8_forms)}
 ORACLE: dict[str, str] = {}

@@ -184,3 +184,22 @@ def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", vocabul
 
     kind = encoded.schema[doc_id].dataType.simpleString()
     return encoded.select(doc_id, F.col(ids)).mapInArrow(run, f"`{doc_id}` {kind}, text string")
+
+
+def round_trip(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, n_tokens int, same): whether a text's ids decode to it again, in one pass without a shuffle. A null text counts as empty."""
+    tokens = read_vocabulary(vocabulary)
+    shared = documents.sparkSession.sparkContext.broadcast((serialised_model(tokens), tokens))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, known = shared.value
+        enc = encoder(model)
+        for batch in batches:
+            for start, texts in _chunks(batch.column(1)):
+                packed = enc.packed(texts)
+                same = [b"".join([known[i] for i in memoryview(p).cast("i")]) == (t or "").encode() for p, t in zip(packed, texts, strict=True)]
+                columns = [batch.column(0).slice(start, len(packed)), pa.array([len(p) // 4 for p in packed], pa.int32()), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=[doc_id, "n_tokens", "same"])
+
+    kind = documents.schema[doc_id].dataType.simpleString()
+    return documents.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kind}, n_tokens int, same boolean")

@@ -38,6 +38,12 @@ def test_encode_decode_and_counts(spark, reference):
     assert sorted((r["doc_id"], r["text"]) for r in back) == sorted((i, t or "") for i, t, _ in rows)
 
 
+def test_round_trip(spark, reference):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in K.round_trip(docs).collect())
+    assert got == [(i, len(reference.encode_ordinary(t or "")), True) for i, t in enumerate(TEXTS)]
+
+
 def test_empty_table(spark):
     assert K.encode(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
