@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from reactionloom.operators.orphans import whole_number
+from reactionloom.operators.ranks import linear_percentiles
 
 #: Cell sizes, node radius, label metrics and gates of the measures.
 CELL, NEAR_CELL, PITCH = 400.0, 120.0, 180.0
@@ -267,12 +268,23 @@ def cell_clashes(points: DataFrame, tile: Column, size: float = 100.0) -> DataFr
     return cells.groupBy("map_id").agg(F.sum(F.greatest("n", F.lit(0))).alias("n_clashes"), F.count("*").alias("n_cells"))
 
 
-def gap_remap(points: DataFrame, max_gap: float = 50.0) -> DataFrame:
-    """Distinct x values of each map with what gaps above `max_gap` shift them by."""
-    values = points.where("x is not null").select("map_id", "x").distinct()
-    w = W.partitionBy("map_id").orderBy("x")
-    gap = F.coalesce(F.col("x") - F.lag("x").over(w), F.lit(0.0))
-    return values.withColumn("excess", F.greatest(gap - max_gap, F.lit(0.0))).select("map_id", "x", (F.sum("excess").over(w.rowsBetween(W.unboundedPreceding, 0))).alias("shift"))
+def gap_remap(points: DataFrame, max_gap: float = 50.0, block: float = 1_000.0) -> DataFrame:
+    """Distinct x values of each map with what gaps above `max_gap` shift them by.
+
+    A map is cut into blocks of x. Gaps and their sums are found within each block; only the blocks, one row each, are put
+    in order over the map, which gives the value before a block and the sum of all gaps before it.
+    """
+    values = points.where("x is not null").select("map_id", "x").distinct().withColumn("block", cell(F.col("x"), block))
+    blocks = values.groupBy("map_id", "block").agg(F.max("x").alias("last"))
+    over = W.partitionBy("map_id").orderBy("block")
+    x = values.join(blocks.select("map_id", "block", F.lag("last").over(over).alias("before")), ["map_id", "block"])
+    own = W.partitionBy("map_id", "block").orderBy("x")
+    gap = F.coalesce(F.col("x") - F.coalesce(F.lag("x").over(own), F.col("before")), F.lit(0.0))
+    x = x.withColumn("excess", F.greatest(gap - max_gap, F.lit(0.0)))
+    sums = x.groupBy("map_id", "block").agg(F.sum("excess").alias("all"))
+    starts = sums.select("map_id", "block", F.coalesce(F.sum("all").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("start"))
+    upto = F.sum("excess").over(own.rowsBetween(W.unboundedPreceding, 0))
+    return x.withColumn("upto", upto).join(starts, ["map_id", "block"]).select("map_id", "x", (F.col("start") + F.col("upto")).alias("shift"))
 
 
 def scorecard(nodes: DataFrame, segs: DataFrame) -> DataFrame:
@@ -312,8 +324,8 @@ def in_band(scores: DataFrame, gates: dict[str, tuple[float | None, float | None
 
 def summary(banded: DataFrame) -> DataFrame:
     """Median, tenth and ninetieth percentile (linear) and the share within the gate, by metric."""
-    p = lambda q: F.percentile("value", F.lit(q))
-    return banded.groupBy("metric").agg(p(0.5).alias("median"), p(0.1).alias("p10"), p(0.9).alias("p90"), F.avg(F.col("within").cast("int")).alias("share_within"), F.count("*").alias("n"))
+    places = linear_percentiles(banded, ["metric"], "value", {"median": 0.5, "p10": 0.1, "p90": 0.9})
+    return places.join(banded.groupBy("metric").agg(F.avg(F.col("within").cast("int")).alias("share_within"), F.count("*").alias("n")), "metric")
 
 
 def worst(banded: DataFrame, n: int = 20) -> DataFrame:

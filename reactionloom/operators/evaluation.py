@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from reactionloom.functions.chemistry import species
+from reactionloom.operators.ranks import linear_percentiles, values_at
 
 REACTION = ["model_id", "rid"]
 #: Models with fewer rows are left out of per-model rates, but counted.
@@ -42,7 +43,9 @@ def pooled(rates: DataFrame, floor: int = FLOOR) -> DataFrame:
     """One row: the pooled rate and the median, least and greatest rate of models with enough rows."""
     enough = F.col("n") >= floor
     rate = F.when(enough, F.col("n_agree") / F.col("n"))
-    return rates.agg(F.sum("n").alias("n"), F.sum("n_agree").alias("n_agree"), F.sum(enough.cast("int")).alias("n_models"), F.sum((~enough).cast("int")).alias("n_small"), F.percentile(rate, F.lit(0.5)).alias("median"), F.min(rate).alias("least"), F.max(rate).alias("greatest"))
+    sums = rates.agg(F.sum("n").alias("n"), F.sum("n_agree").alias("n_agree"), F.sum(enough.cast("int")).alias("n_models"), F.sum((~enough).cast("int")).alias("n_small"), F.min(rate).alias("least"), F.max(rate).alias("greatest"))
+    median = linear_percentiles(rates.select(rate.alias("rate")), [], "rate", {"median": 0.5})
+    return sums.join(F.broadcast(median), how="left")  # one row each
 
 
 def chance(candidates: DataFrame, reference: DataFrame) -> DataFrame:
@@ -54,8 +57,7 @@ def chance(candidates: DataFrame, reference: DataFrame) -> DataFrame:
 
 def degree_rule(stoich: DataFrame, degree: DataFrame, q: float) -> DataFrame:
     """All pairs left when compounds of a degree at or above the model's percentile are dropped, unless a side would be empty."""
-    ranked = degree.withColumn("i", F.row_number().over(W.partitionBy("model_id").orderBy("degree", "metabolite_id")) - 1).withColumn("n", F.count("*").over(W.partitionBy("model_id")))
-    cut = ranked.where(F.col("i") == F.least(F.col("n") - 1, F.floor(F.col("n") * q))).select("model_id", F.col("degree").alias("cut"))
+    cut = values_at(degree, ["model_id"], "degree", {"cut": lambda n: F.least(n - 1, F.floor(n * q))})
     x = stoich.join(degree, ["model_id", "metabolite_id"]).join(cut, "model_id").withColumn("side", F.signum("coefficient"))
     keep = F.col("degree") < F.col("cut")
     x = x.withColumn("keep", keep).withColumn("any", F.max("keep").over(W.partitionBy(*REACTION, "side"))).where("keep or not any")
@@ -81,10 +83,8 @@ def reference_variants(reference: DataFrame, key: Column) -> DataFrame:
 
 def percentiles(values: DataFrame, group: str, value: str, q: float = 0.9) -> DataFrame:
     """Three conventions of a percentile: element int(q n), linear interpolation, element int(q (n - 1))."""
-    w = W.partitionBy(group)
-    x = values.withColumn("i", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    at = lambda i: F.max(F.when(F.col("i") == i, F.col(value)))
-    return x.groupBy(group).agg(at(F.least(F.col("n") - 1, F.floor(F.col("n") * q))).alias("nearest"), F.percentile(value, F.lit(q)).alias("linear"), at(F.floor((F.col("n") - 1) * q)).alias("lower"))
+    plain = values_at(values, [group], value, {"nearest": lambda n: F.least(n - 1, F.floor(n * q)), "lower": lambda n: F.floor((n - 1) * q)})
+    return plain.join(linear_percentiles(values, [group], value, {"linear": q}), group).select(group, "nearest", "linear", "lower")
 
 
 def ecdf(values: DataFrame, group: str, value: str, key: str) -> DataFrame:
@@ -142,7 +142,8 @@ def radial_cv(ends: DataFrame) -> DataFrame:
 def size_bands(scores: DataFrame) -> DataFrame:
     """Median of a long table of scores by metric and band of map size."""
     band = F.when(F.col("n_points") < 10, "small").when(F.col("n_points") < 50, "middle").otherwise("large")
-    return scores.groupBy(band.alias("band"), "metric").agg(F.percentile("value", F.lit(0.5)).alias("median"), F.count("*").alias("n"))
+    banded = scores.withColumn("band", band)
+    return linear_percentiles(banded, ["band", "metric"], "value", {"median": 0.5}).join(banded.groupBy("band", "metric").agg(F.count("*").alias("n")), ["band", "metric"])
 
 
 def transformed(metric: Column, value: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from reactionloom.functions.chemistry import ELEMENTS, atoms, compartment, moiety_score, species
+from reactionloom.operators.ranks import values_at
 from reactionloom.storage import written
 
 #: Compounds that count as currency whatever their degree, those never drawn, and those never drawn as a main compound.
@@ -72,10 +73,8 @@ def degrees(stoich: DataFrame) -> DataFrame:
 
 def cofactor_scores(degree: DataFrame) -> DataFrame:
     """Score in [0, 1]: a ramp from the 85th to the 98th percentile of degrees (nearest rank), at least the curated prior."""
-    rank = F.row_number().over(W.partitionBy("model_id").orderBy("degree", "metabolite_id"))
-    ranked = degree.withColumn("rank", rank).withColumn("n", F.count("*").over(W.partitionBy("model_id")))
-    at = lambda q: F.least(F.col("n") - 1, F.floor(F.col("n") * q)) + 1
-    bounds = ranked.groupBy("model_id").agg(F.max(F.when(F.col("rank") == at(0.85), F.col("degree"))).alias("lo"), F.max(F.when(F.col("rank") == at(0.98), F.col("degree"))).alias("hi"))
+    at = lambda q: lambda n: F.least(n - 1, F.floor(n * q))
+    bounds = values_at(degree, ["model_id"], "degree", {"lo": at(0.85), "hi": at(0.98)})
     x = degree.join(bounds, "model_id")
     ramp = F.when(F.col("hi") > F.col("lo"), (F.col("degree") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise((F.col("degree") >= F.col("hi")).cast("double"))
     prior = species(F.col("metabolite_id")).isin(*CURATED).cast("double")

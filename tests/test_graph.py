@@ -3,7 +3,8 @@
 import random
 
 from reactionloom.operators.graph import components, connected, cycles_condensed, layer_crossings, layers
-from reactionloom.operators.ranks import ranked
+from reactionloom.operators import ranks
+from reactionloom.operators.ranks import linear_percentiles, ranked
 
 
 def brute(links):
@@ -73,3 +74,18 @@ def test_crossings_against_pairs(spark):
                 want[k] = want.get(k, 0) + 1
     got = layer_crossings(spark.createDataFrame(rows, "model_id string, from_layer int, a string, b string, flat boolean")).collect()
     assert {r["from_layer"]: r["n_crossings"] for r in got} == want
+
+
+def test_percentiles_within_a_bracket(spark, monkeypatch):
+    """Groups above the limit are bracketed; the percentiles stay those of all values, ties and nulls included."""
+    monkeypatch.setattr(ranks, "SMALL", 100)
+    rng = random.Random(16)
+    rows = [("a", rng.gauss(0, 1)) for _ in range(9_000)] + [("b", float(rng.randrange(5))) for _ in range(6_000)] + [("c", float(i)) for i in range(7)] + [("a", None), ("d", None)]
+    got = {r["g"]: r for r in linear_percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"p10": 0.1, "p50": 0.5, "p0": 0.0, "p100": 1.0}).collect()}
+    assert set(got) == {"a", "b", "c"}
+    for g, r in got.items():
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        for name, q in (("p10", 0.1), ("p50", 0.5), ("p0", 0.0), ("p100", 1.0)):
+            at = q * (len(v) - 1)
+            low, high = v[int(at)], v[min(int(at) + 1, len(v) - 1)]
+            assert abs(r[name] - (low + (at - int(at)) * (high - low))) < 1e-12
