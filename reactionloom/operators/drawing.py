@@ -89,9 +89,13 @@ def _turn(a: str, b: str, c: str) -> Column:
     return F.when(F.abs(v) < 1e-9, 0).when(v > 0, 1).otherwise(-1)
 
 
-def crossings(straight: DataFrame) -> DataFrame:
-    """Pairs of straight segments of a map that cross, counted by map. Segments that share an end point do not cross."""
-    cells = sampled_cells(straight)
+def crossings(straight: DataFrame, exact: bool = False) -> DataFrame:
+    """Pairs of straight segments of a map that cross, counted by map. Segments that share an end point do not cross.
+
+    Segments meet in the cells of points sampled along them, which leaves out a crossing in a cell that one of them only
+    clips; with `exact` they meet in every cell that they pass.
+    """
+    cells = passed_cells(straight) if exact else sampled_cells(straight)
     half = lambda p: cells.select("map_id", "cx", "cy", F.col("seg_id").alias(f"seg_{p}"), *[F.col(f"{a}{i}").alias(f"{a}{i}{p}") for i in (1, 2) for a in "xy"])
     pairs = half("p").join(half("q"), ["map_id", "cx", "cy"]).where("seg_p < seg_q")
     touch = lambda i, j: (F.abs(F.col(f"x{i}p") - F.col(f"x{j}q")) < 1e-6) & (F.abs(F.col(f"y{i}p") - F.col(f"y{j}q")) < 1e-6)

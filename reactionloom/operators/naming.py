@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from reactionloom.functions.text import UNINFORMATIVE, phrases, superclass, tokens
+from reactionloom.functions.text import UNINFORMATIVE, Classifier, phrases, superclass, tokens
 
 REACTION = ["model_id", "rid"]
 
@@ -53,6 +53,25 @@ def class_votes(reactions: DataFrame, share: float = 0.4, coverage: float = 0.25
     return top.select("model_id", F.when((F.col("n") >= share * F.col("voters")) & (F.col("voters") >= coverage * F.col("size")), F.col("label")).alias("label"), "n", "voters", "size")
 
 
+def classified_clusters(reactions: DataFrame, classifier: Classifier, share: float = 0.4, coverage: float = 0.25) -> DataFrame:
+    """(model_id, cluster, label, n, voters) of reactions (model_id, rid, cluster, vote): by the cluster's name, else by votes.
+
+    `vote` is a class or null. A name that says nothing gives way to the class with most votes, if `share` of the voters agree
+    and `coverage` of the cluster votes; of equals the one that the classifier tries first.
+    """
+    order = {k: i for i, (k, _) in enumerate(classifier.labels)}
+    place = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in order.items() for x in pair]), F.col("vote")), F.lit(len(order)))
+    vague = (classifier.other, classifier.unassigned)
+    named = reactions.withColumn("vote", F.when(~F.col("vote").isin(*vague), F.col("vote")))
+    counted = named.groupBy("model_id", "cluster", "vote").agg(F.count("*").alias("k"))
+    top = F.max(F.when(F.col("vote").isNotNull(), F.struct("k", (-place).alias("place"), "vote"))).alias("top")
+    sums = counted.groupBy("model_id", "cluster").agg(F.sum("k").alias("n"), F.coalesce(F.sum(F.when(F.col("vote").isNotNull(), F.col("k"))), F.lit(0)).alias("voters"), top)
+    own = classifier.of(F.col("cluster"))
+    voted = (F.col("voters") >= coverage * F.col("n")) & (F.col("top.k") >= share * F.col("voters"))
+    label = F.when(~own.isin(*vague), own).when(F.coalesce(voted, F.lit(False)), F.col("top.vote")).otherwise(own)
+    return sums.select("model_id", "cluster", label.alias("label"), "n", "voters")
+
+
 def compound_classes(stoich: DataFrame, reactions: DataFrame, transports: DataFrame) -> DataFrame:
     """Class of each metabolite of a model: at least half of the votes of its reactions that are no transports."""
     voters = reactions.select(*REACTION, superclass(F.col("subsystem")).alias("label")).where("label is not null").join(transports.select(*REACTION), REACTION, "left_anti")

@@ -41,6 +41,10 @@ def segment_crossings(spark, folder):
     return D.crossings(_straight(spark, folder))
 
 
+def segment_crossings_exact(spark, folder):
+    return D.crossings(_straight(spark, folder), exact=True)
+
+
 def longest_run(spark, folder):
     return D.longest_run(_straight(spark, folder)).withColumn("longest_run", millionths(F.col("longest_run")))
 
@@ -144,7 +148,7 @@ def worst_maps_all(spark, folder):
     return D.worst(_whole_bands(spark, folder))
 
 
-_NAMES = "standing_nodes segment_ends axis_aligned segment_crossings longest_run bbox hairball min_separation box_overlaps label_hits node_overlaps edge_through_node node_overlaps_all edge_through_node_all collinear_overlap nearest_other cell_clash gap_remap scorecard gate_bands pooled_summary worst_maps scorecard_all gate_bands_all pooled_summary_all worst_maps_all"
+_NAMES = "standing_nodes segment_ends axis_aligned segment_crossings segment_crossings_exact longest_run bbox hairball min_separation box_overlaps label_hits node_overlaps edge_through_node node_overlaps_all edge_through_node_all collinear_overlap nearest_other cell_clash gap_remap scorecard gate_bands pooled_summary worst_maps scorecard_all gate_bands_all pooled_summary_all worst_maps_all"
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
 _NUMBER = "TRY_CAST(regexp_extract({0}, '^\\s*([+-]?\\d+)(?:\\.0*)?\\s*$', 1) AS BIGINT)"
@@ -216,6 +220,9 @@ ORACLE = {
     "segment_ends": BASE + "SELECT map_id, seg_id, n1, n2, curved, floor(len * 1000000)::BIGINT AS length FROM s",
     "axis_aligned": BASE + "SELECT * FROM ax",
     "segment_crossings": BASE + _CELLS.format("400e0") + f"""SELECT map_id, count(*) AS n_crossings FROM (SELECT DISTINCT a.map_id, a.seg_id, b.seg_id AS other FROM cells a JOIN cells b ON a.map_id = b.map_id AND a.cx = b.cx AND a.cy = b.cy AND a.seg_id < b.seg_id
+WHERE NOT ({_TOUCH}) AND {_turn(_P1, _P2, _Q1)} <> {_turn(_P1, _P2, _Q2)} AND {_turn(_Q1, _Q2, _P1)} <> {_turn(_Q1, _Q2, _P2)}) GROUP BY ALL""",
+    "segment_crossings_exact": BASE + f"""SELECT map_id, count(*) AS n_crossings FROM (SELECT a.map_id FROM t a JOIN t b ON a.map_id = b.map_id AND a.seg_id < b.seg_id
+AND greatest(a.x1, a.x2) >= least(b.x1, b.x2) AND greatest(b.x1, b.x2) >= least(a.x1, a.x2) AND greatest(a.y1, a.y2) >= least(b.y1, b.y2) AND greatest(b.y1, b.y2) >= least(a.y1, a.y2)
 WHERE NOT ({_TOUCH}) AND {_turn(_P1, _P2, _Q1)} <> {_turn(_P1, _P2, _Q2)} AND {_turn(_Q1, _Q2, _P1)} <> {_turn(_Q1, _Q2, _P2)}) GROUP BY ALL""",
     "longest_run": BASE + """, sp AS (SELECT map_id, axis || round_even(pos, 0)::BIGINT AS line, lo, hi FROM axis_ WHERE axis IS NOT NULL),
 rc AS (SELECT *, max(hi) OVER (PARTITION BY map_id, line ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sp),

@@ -7,6 +7,7 @@ from reactionloom.operators import drawing as D
 from reactionloom.operators import identity as I
 from reactionloom.operators import naming as G
 from reactionloom.operators import network as N
+from reactionloom.sources import models as M
 
 METS = "model_id string, metabolite_id string, name string, formula string, charge int, compartment string, other int"
 CASES = [
@@ -125,3 +126,59 @@ def test_cluster_names_prefer_what_says_more(spark):
     rows += [("m", 30 + i, None, f"zzz{chr(97 + i)}yy") for i in range(9)]
     got = G.cluster_names(spark.createDataFrame(rows, "model_id string, rid long, subsystem string, name string")).collect()
     assert {r["subsystem"]: (r["label"], r["strict"]) for r in got} == {"one": ("Bile acid kinase", True), "two": ("Kinase", True)}
+
+
+WORDS = T.Classifier(
+    (("Carbohydrate metabolism", ("mannose", "inositol phosphate", "nucleotide sugar")), ("Nucleotide metabolism", ("nucleotide",)), ("Lipid metabolism", ("lipid",)), ("Glycan metabolism", ("glycan",)), ("Transport and exchange", ("exchange", "transport"))),
+    (("phosphatidylinositol", "Lipid metabolism"), ("o-glycan", "Glycan metabolism")),
+)
+
+
+def test_classifier(spark):
+    cases = {
+        "Extracellular exchange: amino acids and lipids": "Transport and exchange", "Lipid metabolism (2)": "Lipid metabolism", "Mannose type O-glycan biosynthesis": "Glycan metabolism",
+        "Phosphatidylinositol phosphate metabolism": "Lipid metabolism", "Nucleotide sugars": "Carbohydrate metabolism", "nucleotides_salvage": "Nucleotide metabolism", "Phospholipids": "Other metabolism",
+        "Unannotated 35": "Unassigned clusters", "Other glycan degradation": "Glycan metabolism", "Other metabolism": "Other metabolism", "": "Other metabolism", None: None,
+    }
+    rows = spark.createDataFrame([(c,) for c in cases], "c string")
+    assert {r["c"]: r["l"] for r in rows.select("c", WORDS.of(F.col("c")).alias("l")).collect()} == cases
+    table = [(i, label, w, False) for i, (label, words) in enumerate(WORDS.labels) for w in words] + [(-1, label, w, True) for w, label in WORDS.first]
+    assert set(T.Classifier.from_table(spark.createDataFrame(table, "position int, label string, keyword string, first boolean")).first) == set(WORDS.first)
+
+
+def test_clusters_by_name_else_by_votes(spark):
+    votes = {"Lipids": ["Glycan metabolism"] * 4, "cluster_1": ["Lipid metabolism", "Glycan metabolism", None, None], "cluster_2": ["Glycan metabolism", None, None, None, None], "cluster_3": ["Lipid metabolism", "Other metabolism", None]}
+    rows = spark.createDataFrame([("m", f"{c}{i}", c, v) for c, vs in votes.items() for i, v in enumerate(vs)], "model_id string, rid string, cluster string, vote string")
+    got = {r["cluster"]: (r["label"], r["voters"]) for r in G.classified_clusters(rows, WORDS).collect()}
+    assert got == {"Lipids": ("Lipid metabolism", 4), "cluster_1": ("Lipid metabolism", 2), "cluster_2": ("Unassigned clusters", 1), "cluster_3": ("Lipid metabolism", 1)}
+
+
+SBML = """<sbml><model id="m"><listOfSpecies><species id="M_a_c" name="A" compartment="c" charge="-1" chemicalFormula="CH2"/></listOfSpecies><listOfReactions>
+<reaction id="R_one" name="One" reversible="true"><listOfReactants><speciesReference species="M_a_c" stoichiometry="2"/></listOfReactants><listOfProducts><speciesReference species="M_b_c"/><speciesReference species="M_d_c" stoichiometry="0.5"/></listOfProducts></reaction>
+<reaction id="R_ex" reversible="false"><listOfReactants><speciesReference species="M_a_c"/></listOfReactants></reaction></listOfReactions></model></sbml>"""
+
+
+def test_model_files_and_sbml(spark, tmp_path):
+    for name in ("m1.xml", "m1.json", "m2.xml.gz", "m3.txt", "m4.sbml"):
+        (tmp_path / name).write_text(SBML)
+    got = {r["model_id"]: (r["file"].rsplit("/", 1)[1], r["extension"]) for r in M.model_files(spark, str(tmp_path)).collect()}
+    assert got == {"m1": ("m1.json", ".json"), "m2": ("m2.xml.gz", ".xml.gz"), "m4": ("m4.sbml", ".sbml")}
+    path = str(tmp_path / "m4.sbml")
+    assert sorted((r["model_id"], r["rid"], r["metabolite_id"], r["coefficient"]) for r in M.sbml_stoich(spark, path).collect()) == [("m4", "ex", "a_c", -1.0), ("m4", "one", "a_c", -2.0), ("m4", "one", "b_c", 1.0), ("m4", "one", "d_c", 0.5)]
+    assert [tuple(r) for r in M.sbml_metabolites(spark, path).collect()] == [("m4", "a_c", "A", "c", -1, "CH2")]
+
+
+def test_lookup_selection_and_drawn_entries(spark, tmp_path):
+    (tmp_path / "l.tsv").write_text("R1\tp2\nR1\tp1\nR1\tp2\nR2\tp9\nR2\tp1\n")
+    (tmp_path / "n.tsv").write_text("p1\tFirst\np2\tSecond\n")
+    plain = lambda df: sorted((r["identifier"], r["pos"], r["pathway"]) for r in df.collect())
+    assert plain(M.read_lookup(spark, str(tmp_path / "l.tsv"), drop=("p9",))) == [("R1", 0, "p2"), ("R1", 1, "p1"), ("R2", 0, "p1")]
+    assert plain(M.read_lookup(spark, str(tmp_path / "l.tsv"), str(tmp_path / "n.tsv"))) == [("R1", 0, "Second"), ("R1", 1, "First"), ("R2", 0, "First")]
+    (tmp_path / "a.txt").write_text(" R1 R2\nR1\n")
+    (tmp_path / "b.json").write_text('["R3", "R4"]')
+    (tmp_path / "c.json").write_text('{"reactions": ["R5"]}')
+    ids = lambda name: {r["rid"] for r in M.read_selection(spark, str(tmp_path / name)).collect()}
+    assert (ids("a.txt"), ids("b.json"), ids("c.json")) == ({"R1", "R2"}, {"R3", "R4"}, {"R5"})
+    for organism in ("hsa", "eco"):
+        (tmp_path / f"{organism}00010.xml").write_text(f'<pathway><entry id="1" name="cpd:C1" type="compound"><graphics name="{organism}" type="circle" x="5" y="6" width="8" height="8"/></entry><entry id="2" name="{organism}:7" type="gene"/></pathway>')
+    assert [(r["pathway"], r["entry"], r["x"], r["y"]) for r in M.drawn_entries(spark, str(tmp_path / "*00010.xml")).collect()] == [("00010", 1, 5.0, 6.0)]
