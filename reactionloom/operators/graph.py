@@ -101,14 +101,15 @@ def cycles_condensed(edges: DataFrame, steps: int = 3) -> DataFrame:
     node = lambda df, c: df.select("model_id", F.col(c).alias("node")).distinct()
     none = e.limit(0).select("model_id", F.col("u").alias("node"), F.col("u").alias("component"))
 
-    def spread(now: DataFrame, over: DataFrame, start: str, end: str, pick) -> DataFrame:
-        """`now` (model_id, node, c) with c carried along the edges from `start` to `end` until nothing changes."""
+    def spread(now: DataFrame, over: DataFrame, start: str, end: str) -> DataFrame:
+        """`now` (model_id, node, c): the smallest c carried along the edges from `start` to `end`, two edges a round."""
         while True:
-            offers = over.join(now.select("model_id", F.col("node").alias(start), "c"), ["model_id", start]).groupBy("model_id", F.col(end).alias("node")).agg(pick("c").alias("offer"))
+            new = now.withColumn("old", F.col("c"))
+            for _ in range(2):
+                offers = over.join(new.select("model_id", F.col("node").alias(start), "c"), ["model_id", start]).groupBy("model_id", F.col(end).alias("node")).agg(F.min("c").alias("offer"))
+                new = new.join(offers, ["model_id", "node"], "left").select("model_id", "node", "old", F.least("c", "offer").alias("c"))  # nulls are no offers
             seen = Observation()
-            best = F.least("offer", "c") if pick is F.min else F.greatest("offer", "c")  # nulls are no offers
-            new = now.join(offers, ["model_id", "node"], "left").select("model_id", "node", best.alias("c"), (best != F.col("c")).alias("moved"))
-            now = written(new.observe(seen, F.coalesce(F.sum(F.col("moved").cast("int")), F.lit(0)).alias("n")), "colours").drop("moved")
+            now = written(new.observe(seen, F.coalesce(F.sum((F.col("c") != F.col("old")).cast("int")), F.lit(0)).alias("n")), "colours").drop("old")
             if not seen.get["n"]:
                 return now
 
@@ -125,12 +126,12 @@ def cycles_condensed(edges: DataFrame, steps: int = 3) -> DataFrame:
         if not seen.get["n"]:
             return found if found is not None else none
         nodes = node(e, "u").withColumn("c", F.col("node"))
-        colours = spread(nodes, e, "u", "v", F.min)
+        colours = spread(nodes, e, "u", "v")
         same = e.join(colours.select("model_id", F.col("node").alias("u"), F.col("c").alias("cu")), ["model_id", "u"]).join(colours.select("model_id", F.col("node").alias("v"), F.col("c").alias("cv")), ["model_id", "v"])
         same = written(same.where("cu = cv").select("model_id", "u", "v"), "colours")
-        # 1 for what reaches the node that gave the colour.
-        reach = spread(colours.select("model_id", "node", (F.col("node") == F.col("c")).cast("int").alias("c")), same, "v", "u", F.max)
-        part = reach.where("c = 1").select("model_id", "node").join(colours.withColumnRenamed("c", "component"), ["model_id", "node"])
+        # The node that gave a colour is the smallest of it: a node reaches it if that is the smallest that it reaches.
+        back = spread(nodes, same, "v", "u").withColumnRenamed("c", "component")
+        part = colours.join(back, ["model_id", "node"]).where("c = component").select("model_id", "node", "component")
         part = written(part, "components")
         several = part.groupBy("model_id", "component").agg(F.count("*").alias("n")).where("n > 1").drop("n")
         several = part.join(several, ["model_id", "component"]).select("model_id", "node", "component")
