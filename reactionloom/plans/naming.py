@@ -120,7 +120,7 @@ def sampled_reactions(spark, folder):
 
 
 def model_index(spark, folder):
-    """Index of models: reactions, subsystems and metabolites of each, in publication order."""
+    """Index of models: reactions, subsystems and metabolites of each."""
     m = Model(spark, folder)
     r = m.reactions.groupBy("model_id").agg(F.count("*").alias("n_reactions"), F.countDistinct("subsystem").alias("n_subsystems"))
     c = m.metabolites.groupBy("model_id").agg(F.count("*").alias("n_metabolites"))
