@@ -134,10 +134,10 @@ def test_graph_loops(spark):
 
 def test_layers_keep_back_edges(spark):
     edges = spark.createDataFrame([("m", "a", "c"), ("m", "c", "b"), ("m", "b", "a"), ("m", "e", "d"), ("m", "d", "c"), ("m", "f", "f")], "model_id string, u string, v string")
-    layer = H.layers(edges)
+    layer = H.turned_layers(edges)
     assert {r["node"]: r["layer"] for r in layer.collect()} == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 4, "f": 0}
     assert {(r["u"], r["v"]): r["reversed"] for r in H.turned(edges).collect()} == {("a", "b"): True, ("a", "c"): False, ("b", "c"): True, ("c", "d"): True, ("d", "e"): True}
-    proper = H.proper_edges(edges, layer)
+    proper = H.proper_edges(H.turned(edges), layer)
     assert sorted((r["from_layer"], r["a"], r["b"]) for r in proper.collect()) == [(0, "a", "a>c@1"), (0, "a", "b"), (1, "a>c@1", "c"), (1, "b", "c"), (2, "c", "d"), (3, "d", "e")]
 
 
