@@ -81,6 +81,13 @@ def compound_classes(stoich: DataFrame, reactions: DataFrame, transports: DataFr
     return top.where(F.col("n") * 2 >= F.col("total")).select("model_id", "metabolite_id", "label", "n", "total")
 
 
+def compound_classes_with_inorganic(classes: DataFrame, stoich: DataFrame, metabolites: DataFrame, inorganic: str = "Inorganic ions") -> DataFrame:
+    """(model_id, metabolite_id, label): `classes`, but a compound whose formula has no carbon is inorganic whatever it takes part in."""
+    key = ["model_id", "metabolite_id"]
+    free = metabolites.where("formula <> ''").where(~F.col("formula").rlike("C(?![a-z])")).select(*key).join(stoich.select(*key), key, "left_semi").distinct()
+    return free.withColumn("label", F.lit(inorganic)).unionByName(classes.join(free, key, "left_anti").select(*key, "label"))
+
+
 def cargo(transports: DataFrame, species_degree: DataFrame) -> DataFrame:
     """The carried compound with the fewest reactions, by name where equal."""
     each = transports.select(*REACTION, F.explode(F.split("moved", " ")).alias("species"))

@@ -205,11 +205,15 @@ def shared_metabolites(stoich: DataFrame, reactions: DataFrame) -> DataFrame:
     return x.withColumnRenamed("cluster", "a").join(y, METABOLITE).where("a < b").groupBy("model_id", "a", "b").agg(F.count("*").alias("n_shared"))
 
 
-def select_links(edges: DataFrame, min_weight: int = 2) -> DataFrame:
-    """The strongest outgoing and the strongest incoming link of each cluster, from `min_weight` on; distinct."""
+def select_links(edges: DataFrame, min_weight: int = 2, cap: int | None = None) -> DataFrame:
+    """The strongest outgoing and the strongest incoming link of each cluster, from `min_weight` on; distinct.
+
+    With `cap`, a drawing's limit, only so many of a model's strongest, equal ones by the names of their clusters.
+    """
     strong = edges.where(F.col("weight") >= min_weight).select("model_id", "a", "b", "weight")
-    top = lambda k: strong.withColumn("_n", F.row_number().over(W.partitionBy("model_id", k).orderBy(F.desc("weight"), "a", "b"))).where("_n = 1").drop("_n")
-    return top("a").union(top("b")).distinct()
+    first = lambda df, n, *by: df.withColumn("_n", F.row_number().over(W.partitionBy("model_id", *by).orderBy(F.desc("weight"), "a", "b"))).where(F.col("_n") <= n).drop("_n")
+    kept = first(strong, 1, "a").union(first(strong, 1, "b")).distinct()
+    return kept if cap is None else first(kept, cap)
 
 
 def conversions(stoich: DataFrame, scores: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from reactionloom.plans.drawing import _nodes, _points, _segments
 
 from reactionloom.plans.naming import _PHRASES, _label
 from reactionloom.plans.network import BASE as MODEL
-from reactionloom.plans.network import PAIRS, Model, _place, _species
+from reactionloom.plans.network import META, PAIRS, Model, _place, _species
 
 #: Reactions of one piece.
 PIECE = 25
@@ -29,6 +29,17 @@ def cluster_names(spark, folder):
     return G.cluster_names(Model(spark, folder).reactions)
 
 
+def compound_classes_all(spark, folder):
+    m = Model(spark, folder)
+    return G.compound_classes_with_inorganic(G.compound_classes(m.stoich, m.reactions, N.transport_flags(m.stoich)), m.stoich, m.metabolites)
+
+
+def trunk_links(spark, folder):
+    """Links of clusters that are worth drawing: of weight 4 and more, at most 400 in a model."""
+    m = Model(spark, folder)
+    return N.select_links(N.meta_edges(*N.made_and_taken(N.backbone(m.stoich, m.scores), m.reactions)), 4, 400)
+
+
 def themes(spark, folder):
     r = Model(spark, folder).reactions.select("model_id", F.floor(F.col("seq") / PIECE).alias("piece"), "seq", T.superclass(F.col("subsystem")).alias("label"))
     return G.themes(r, ["model_id", "piece"], "label")
@@ -82,7 +93,7 @@ def merged_maps(spark, folder):
     return nodes.select(F.lit("node").alias("kind"), "id", F.col("bigg_id").alias("what")).unionByName(lines.select(F.lit("segment").alias("kind"), "id", F.col("rid").alias("what")))
 
 
-QUERIES = {f.__name__: f for f in (cluster_names, themes, split_captions, display_labels, ablation_pairs, bezier_lengths, arc_controls, ring_radii, edge_through_unrelated, merged_maps)}
+QUERIES = {f.__name__: f for f in (cluster_names, compound_classes_all, trunk_links, themes, split_captions, display_labels, ablation_pairs, bezier_lengths, arc_controls, ring_radii, edge_through_unrelated, merged_maps)}
 
 _END = "done AS (SELECT 1) "
 _GENERAL = "acid acids transport exchange dehydrogenase reductase kinase oxidase synthase synthetase ligase hydrolase transferase isomerase phosphatase ester esters beta alpha gamma delta chain long short medium protein complex subunit family group class"
@@ -100,6 +111,14 @@ SELECT model_id, '{name}' AS variant, count(*) AS n, sum((least({s}, {p}) = c1 A
 
 _RANKED = "tier, value DESC, substrate, product"
 ORACLE = {
+    "compound_classes_all": MODEL + f"""v AS (SELECT model_id, rid, {_label('subsystem')} AS label FROM r WHERE (model_id, rid) NOT IN (SELECT (model_id, rid) FROM moved)),
+c AS (SELECT model_id, metabolite_id, label, count(*) AS n FROM (SELECT DISTINCT model_id, rid, metabolite_id FROM s) JOIN v USING (model_id, rid) WHERE label IS NOT NULL GROUP BY ALL),
+x AS (SELECT *, sum(n) OVER (PARTITION BY model_id, metabolite_id) AS total, row_number() OVER (PARTITION BY model_id, metabolite_id ORDER BY n DESC, label) AS k FROM c),
+ino AS (SELECT model_id, metabolite_id FROM m WHERE formula <> '' AND NOT regexp_matches(formula, 'C([^a-z]|$)') AND EXISTS (SELECT 1 FROM s WHERE s.model_id = m.model_id AND s.metabolite_id = m.metabolite_id))
+SELECT model_id, metabolite_id, 'Inorganic ions' AS label FROM ino UNION ALL SELECT model_id, metabolite_id, label FROM x WHERE k = 1 AND n * 2 >= total AND (model_id, metabolite_id) NOT IN (SELECT (model_id, metabolite_id) FROM ino)""",
+    "trunk_links": META.replace("weight >= 2", "weight >= 4") + """lk AS (SELECT * FROM (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY model_id, a ORDER BY weight DESC, a, b) = 1)
+UNION SELECT * FROM (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY model_id, b ORDER BY weight DESC, a, b) = 1))
+SELECT * FROM lk QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY weight DESC, a, b) <= 400""",
     "cluster_names": _PHRASES + f"""sz AS (SELECT model_id, subsystem, count(*) AS size FROM r WHERE subsystem IS NOT NULL GROUP BY ALL),
 tt AS (SELECT model_id, count(*) AS total FROM r GROUP BY ALL), dm AS (SELECT model_id, phrase, count(*) AS d FROM ph GROUP BY ALL),
 sc AS (SELECT model_id, subsystem, phrase, n / size::DOUBLE AS share, floor(n / size::DOUBLE * ln((total + 1) / (d + 1)::DOUBLE) * (1e0 + 0.6e0 * (len(string_split(phrase, ' ')) - 1)) * 1e9)::BIGINT AS score, phrase NOT IN ({', '.join(repr(w) for w in _GENERAL.split())}) AS says

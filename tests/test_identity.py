@@ -182,3 +182,15 @@ def test_lookup_selection_and_drawn_entries(spark, tmp_path):
     for organism in ("hsa", "eco"):
         (tmp_path / f"{organism}00010.xml").write_text(f'<pathway><entry id="1" name="cpd:C1" type="compound"><graphics name="{organism}" type="circle" x="5" y="6" width="8" height="8"/></entry><entry id="2" name="{organism}:7" type="gene"/></pathway>')
     assert [(r["pathway"], r["entry"], r["x"], r["y"]) for r in M.drawn_entries(spark, str(tmp_path / "*00010.xml")).collect()] == [("00010", 1, 5.0, 6.0)]
+
+
+def test_trunk_links_and_inorganic_compounds(spark):
+    edges = spark.createDataFrame([("m", "a", "b", 5), ("m", "a", "c", 4), ("m", "c", "b", 9), ("m", "b", "a", 3), ("n", "x", "y", 4)], "model_id string, a string, b string, weight int")
+    links = lambda *more: sorted((r["model_id"], r["a"], r["b"]) for r in N.select_links(edges, 4, *more).collect())
+    assert links() == [("m", "a", "b"), ("m", "a", "c"), ("m", "c", "b"), ("n", "x", "y")]
+    assert links(2) == [("m", "a", "b"), ("m", "c", "b"), ("n", "x", "y")]
+    classes = spark.createDataFrame([("m", "p_c", "Lipids"), ("m", "q_c", "Lipids")], "model_id string, metabolite_id string, label string")
+    mets = spark.createDataFrame([("m", "p_c", "CaCl2"), ("m", "q_c", "CH4"), ("m", "r_c", "Na"), ("m", "unused", "Na")], "model_id string, metabolite_id string, formula string")
+    stoich = spark.createDataFrame([("m", i) for i in ("p_c", "q_c", "r_c", "r_c")], "model_id string, metabolite_id string")
+    got = {r["metabolite_id"]: r["label"] for r in G.compound_classes_with_inorganic(classes, stoich, mets).collect()}
+    assert got == {"p_c": "Inorganic ions", "q_c": "Lipids", "r_c": "Inorganic ions"}
