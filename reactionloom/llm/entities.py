@@ -139,7 +139,8 @@ def compound_pairs(metabolites: DataFrame, models: DataFrame, external: DataFram
     theirs = with_label(external.withColumn("form", name_form(F.col("title"), words)), "form", near, "label")
     theirs = theirs.select(F.col("ext_row").alias("row"), "organism", place_key(F.col("place")).alias("place"), "label", "formula", "charge", "mass").distinct()
 
-    both = mine.withColumn("side", F.lit("a")).unionByName(theirs.withColumn("side", F.lit("b")))
+    # Each side is a table of its own: the plans stay small.
+    both = written(mine.withColumn("side", F.lit("a")), "mine").unionByName(written(theirs.withColumn("side", F.lit("b")), "theirs"))
     both = _compound_fields(both).withColumn("org", organism_key(F.col("organism"))).withColumn("genus", genus(F.col("organism")))
     both = both.withColumn("grp", F.xxhash64("org", "place")).withColumn("open", F.col("formula").rlike("[RX](?![a-z])")).where("org is not null and place is not null")
     fields = ["genus", "label", "heavy", "n_H", "charge", "mass", "weight", "open"]
@@ -207,7 +208,8 @@ def reaction_pairs(records: DataFrame, stoich: DataFrame, models: DataFrame, ext
     theirs = external.select("ext_row", "organism", F.col("title").alias("name")).distinct().join(participants(said, "ext_row", words), F.col("ext_row") == F.col("row"))
     theirs = theirs.select("row", "organism", "name", "labels", "amounts", "unknown")
 
-    both = mine.withColumn("side", F.lit("a")).unionByName(theirs.withColumn("side", F.lit("b")))
+    # Each side is a table of its own: the plans stay small.
+    both = written(mine.withColumn("side", F.lit("a")), "mine").unionByName(written(theirs.withColumn("side", F.lit("b")), "theirs"))
     near = near.where("kind = 'reaction'").select(F.col("form").alias("title"), F.col("ref_id").cast("string").alias("title_ref"))
     both = both.withColumn("title", spelled(F.col("name"), words.spelling)).join(near, "title", "left").withColumn("title", F.coalesce("title_ref", "title")).drop("title_ref")
     both = both.withColumn("org", organism_key(F.col("organism"))).withColumn("genus", genus(F.col("organism"))).where("org is not null").withColumn("grp", F.xxhash64("org"))

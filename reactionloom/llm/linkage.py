@@ -114,7 +114,8 @@ def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     fields = [c for c in rows.columns if c != "row"]
     marked = written(rows.distinct().withColumn("look", F.md5(F.to_json(F.struct(*fields)))), "looks")
-    alike = marked.groupBy("look", "side").agg(F.min("row").alias("row"), F.count("*").alias("n"), *[F.any_value(c).alias(c) for c in fields if c != "side"])
+    same = F.any_value(F.struct(*[c for c in fields if c != "side"])).alias("same")
+    alike = marked.groupBy("look", "side").agg(F.min("row").alias("row"), F.count("*").alias("n"), same).select("look", "side", "row", "n", "same.*")
     alike = written(alike, "classes")
     several = alike.where("n > 1").select("look", "side", "row")
     return alike.drop("look"), marked.select("look", "side", F.col("row").alias("member")).join(several, ["look", "side"]).select("side", "row", "member")
