@@ -46,3 +46,14 @@ def test_parts_of_a_large_map_and_no_rows_for_pairs(spark, exact, monkeypatch):
     assert {r["map_id"]: r["n_crossings"] for r in df.collect()} == {m: compared(ends[:size], None if exact else 400.0) for m, size in ((1, 300), (2, 20))}
     # The pairs that cross are never rows: no join of the segments with themselves.
     assert "seg_p" not in df._jdf.queryExecution().toString()
+
+
+def test_labels_under_edges_with_few_and_many_first(spark):
+    rng = np.random.default_rng(4)
+    boxes = spark.createDataFrame([(1, i, x, y, x + 60, y + 25) for i, (x, y) in enumerate(rng.uniform(0, 2_000, (60, 2)).tolist())], "map_id long, node_id long, left double, top double, right double, bottom double")
+    lines = [(1, i, int(i), int(i) + 1, *e, None, None) for i, e in enumerate(rng.uniform(0, 2_000, (40, 4)).tolist())]
+    segs = spark.createDataFrame(lines, "map_id long, seg_id long, n1 long, n2 long, x1 double, y1 double, x2 double, y2 double, b1 struct<x:double,y:double>, b2 struct<x:double,y:double>")
+    want = D.labels_met(boxes, D.ink(segs)).count()
+    assert 0 < want < 60
+    for first in (2, 15, 500):
+        assert [tuple(r) for r in D.labels_on_edges(boxes, segs, first).collect()] == [(1, want)]
