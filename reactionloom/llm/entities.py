@@ -16,7 +16,7 @@ from pyspark.sql.window import Window as W
 
 from reactionloom.llm.bk_tree import SPELLING, Spelling, entries_of, map_forms, spelled
 from reactionloom.llm.linkage import classes, one_to_one, weighted, window_and_tied_pairs
-from reactionloom.storage import written
+from reactionloom.storage import tidied, written
 
 #: Other ways to write the compounds that take part everywhere.
 SHORT_NAMES = {"h2o": "water", "h": "proton", "h+": "proton", "nad": "nad+", "coa": "coenzyme a", "co2": "carbon dioxide", "nh4": "ammonium", "nh4+": "ammonium", "pi": "phosphate"}
@@ -258,7 +258,10 @@ def match_both(metabolites: DataFrame, records: DataFrame, stoich: DataFrame, mo
     """(kind, model_row, ext_row, confidence) of both kinds: labels, spellings and assignment in one go."""
     ids, entries = compound_labels(metabolites, references, words)
     near = near_labels([compound_forms(compounds, words), reaction_forms(records, reactions, words)], entries, references, words)
+    tidied(metabolites.sparkSession)
     of_compounds = _named(compound_pairs(metabolites, models, compounds, ids, near, words), "metabolite")
+    tidied(metabolites.sparkSession)
     of_reactions = _named(reaction_pairs(records, stoich, models, reactions, ids, near, words), "reaction")
+    tidied(metabolites.sparkSession)
     matched = one_to_one(*[x.unionByName(y) for x, y in zip(of_compounds, of_reactions, strict=True)])
     return matched.select("kind", F.col("a").alias("model_row"), F.col("b").alias("ext_row"), "confidence")

@@ -34,7 +34,7 @@ from pyspark.sql.window import Window as W
 
 from reactionloom.operators.graph import connected
 from reactionloom.operators.ranks import ranked
-from reactionloom.storage import written
+from reactionloom.storage import tidied, written
 
 WINDOW = 12
 SALTS = 16
@@ -262,10 +262,9 @@ def matched_classes(edges: DataFrame, large: int = LARGE, step: float = STEP) ->
 def paired_rows(flows: DataFrame, members: DataFrame) -> DataFrame:
     """(by, a, b, confidence) of rows: the k-th of the units between two classes is a pair of their rows of that rank.
 
-    `members` (by, side, row, member) lists the classes of several rows.
+    `members` (by, side, row, member) lists the classes of several rows. `flows` are read several times.
     """
     by = [c for c in flows.columns if c not in ("a", "b", "confidence", "n_a", "n_b", "units")]
-    flows = written(flows, "flows")
     single = flows.where("n_a = 1 and n_b = 1").select(*by, "a", "b", "confidence")
     many = flows.where("n_a > 1 or n_b > 1")
     first = lambda k, other: F.coalesce(F.sum("units").over(W.partitionBy(*by, k).orderBy(other).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -289,4 +288,6 @@ def one_to_one(edges: DataFrame, members: DataFrame | None = None, large: int =
     if members is None:
         edges = edges.withColumn("n_a", F.lit(1).cast("bigint")).withColumn("n_b", F.lit(1).cast("bigint"))
         return matched_classes(edges, large, step).drop("n_a", "n_b", "units")
-    return paired_rows(matched_classes(edges, large, step), members)
+    flows = written(matched_classes(edges, large, step), "flows")
+    tidied(flows.sparkSession)
+    return paired_rows(flows, members)

@@ -35,3 +35,13 @@ def test_the_whole_scorecard_keeps_no_shuffle_files_of_its_steps(spark):
     before = shuffle_files(spark)
     D.whole_scorecard(nodes, D.segments(raw, nodes))
     assert not left(spark, before)
+
+
+def test_a_query_of_many_steps_gives_back_the_drivers_memory(spark):
+    from reactionloom.llm.value_queries import p4_matches
+
+    beans = lambda: spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = whole()
+    assert p4_matches(spark, "/root/testdata/sf0.001").count() > 0
+    assert whole() - before >= 4
