@@ -6,7 +6,8 @@ that the point is in, and a tile has all that comes near its own: nothing that i
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -212,12 +213,35 @@ def least_distance(group: np.ndarray, x: np.ndarray, y: np.ndarray, own: np.ndar
     return out
 
 
-def _bent(c: np.ndarray, i: int) -> np.ndarray:
+def _bent(c: tuple, i: int) -> np.ndarray:
     """Points of curves (start, end and the two between) at step `i`."""
     t = i / STEPS
     return np.power(1 - t, 3.0) * c[0] + 3 * (1 - t) * (1 - t) * t * c[2] + 3 * (1 - t) * t * t * c[3] + np.power(t, 3.0) * c[1]
 
 
+def measures(n: int, nodes: tuple, lines: tuple, curves: tuple, half: float, tolerance: float, pitch: float) -> list[np.ndarray]:
+    """By group, the least squared distance and how many labels overlap, cover a node and lie on an edge.
+
+    `nodes`: group, id, x, y, right end of the label (NaN without one), what labels keep off, whether it belongs to the tile.
+    `lines`: group, ids and places of both ends; `curves`: the same and the places of both control points.
+    """
+    group, node, x, y, right, off, own = nodes
+    point = np.flatnonzero(~np.isnan(right))
+    labels = Labels(group[point], node[point], x[point], y[point], right[point], half, own[point], n)
+    bent = [np.stack([_bent(curves[3 + v :: 2], i) for v in (0, 1)]) for i in range(STEPS + 1)]
+    straight, many = lines[:3], [np.repeat(c, STEPS) for c in curves[:3]]
+    join = lambda place, v, by: np.append(place, np.stack([e[v] for e in bent[by : STEPS + by]], axis=1).ravel())
+    ends = [join(place, v, by) for place, v, by in zip(lines[3:], (0, 1, 0, 1), (0, 0, 1, 1), strict=True)]
+    good = np.isfinite(ends).all(0)
+    pieces = [np.append(a, b)[good] for a, b in zip(straight, many, strict=True)]
+    return [
+        least_distance(group[point], x[point], y[point], own[point], n, pitch),
+        labels.overlaps(tolerance),
+        labels.on_nodes(group, node, x, y, off),
+        labels.on_edges(*pieces, *[e[good] for e in ends]),
+    ]
+
+
 def measured(t: pa.Table, half: float, tolerance: float, pitch: float) -> pa.RecordBatch:
     """The counts and the least distance for each map and tile of a table of whole tiles, a row for each."""
     t = t.combine_chunks()
@@ -227,25 +251,34 @@ def measured(t: pa.Table, half: float, tolerance: float, pitch: float) -> pa.Rec
     group, n = np.cumsum(new) - 1, int(new.sum())
     whole = lambda c: array(c).fill_null(-1).to_numpy()
     real = lambda c: array(c).fill_null(float("nan")).to_numpy()
-    a, b, x1, y1, x2, y2 = whole("a"), whole("b"), real("x1"), real("y1"), real("x2"), real("y2")
     node, seg, bent = np.flatnonzero(kind <= OWN), np.flatnonzero(kind == STRAIGHT), np.flatnonzero(kind == BENT)
-    point = node[~np.isnan(x2[node])]
-    labels = Labels(group[point], a[point], x1[point], y1[point], x2[point], half, kind[point] == OWN, n)
-    curve = np.stack([[x1[bent], x2[bent], real("bx1")[bent], real("bx2")[bent]], [y1[bent], y2[bent], real("by1")[bent], real("by2")[bent]]])
-    ends = [np.stack([_bent(curve[0], i), _bent(curve[1], i)]) for i in range(STEPS + 1)]
-    pieces = np.append(seg, np.repeat(bent, STEPS))
-    join = lambda straight, at, by: np.append(straight[seg], np.stack([e[at] for e in ends[by : STEPS + by]], axis=1).ravel())
-    p1, p2 = (join(x1, 0, 0), join(y1, 1, 0)), (join(x2, 0, 1), join(y2, 1, 1))
-    good = np.isfinite(p1[0]) & np.isfinite(p1[1]) & np.isfinite(p2[0]) & np.isfinite(p2[1])
-    pieces, p1, p2 = pieces[good], [v[good] for v in p1], [v[good] for v in p2]
-    out = [
-        array("map_id").take(pa.array(np.flatnonzero(new))),
-        pa.array(least_distance(group[point], x1[point], y1[point], kind[point] == OWN, n, pitch)),
-        pa.array(labels.overlaps(tolerance)),
-        pa.array(labels.on_nodes(group[node], a[node], x1[node], y1[node], y2[node])),
-        pa.array(labels.on_edges(group[pieces], a[pieces], b[pieces], *p1, *p2)),
-    ]
-    return pa.RecordBatch.from_arrays(out, ["map_id", "d2", "n_overlaps", "n_labels", "n_on_edges"])
+    columns = [group, whole("a"), whole("b"), *[real(c) for c in ("x1", "y1", "x2", "y2", "bx1", "by1", "bx2", "by2")]]
+    spots = [columns[k][node] for k in (0, 1, 3, 4, 5, 6)]
+    found = measures(n, (*spots, kind[node] == OWN), [c[seg] for c in columns[:7]], [c[bent] for c in columns], half, tolerance, pitch)
+    return pa.RecordBatch.from_arrays([array("map_id").take(pa.array(np.flatnonzero(new))), *map(pa.array, found)], ["map_id", "d2", "n_overlaps", "n_labels", "n_on_edges"])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Tables of about BATCH rows or more, cut where the sorted `keys` change."""
+    kept: list[pa.RecordBatch] = []
+    rows_kept = 0
+    for batch in batches:
+        kept.append(batch)
+        rows_kept += batch.num_rows
+        if rows_kept < BATCH or not batch.num_rows:
+            continue
+        last, first = ([b[k][at].as_py() for k in keys] for b, at in ((kept[-1], -1), (kept[0], 0)))
+        if last == first:
+            continue
+        # Up to the last change; what follows may go on in the next batch.
+        table = pa.Table.from_batches(kept).combine_chunks()
+        differs = functools.reduce(pc.or_, [pc.not_equal(table[k], table[k][-1]) for k in keys]).to_numpy()
+        end = int(np.flatnonzero(differs)[-1]) + 1
+        yield table.slice(0, end)
+        kept = table.slice(end).to_batches()
+        rows_kept = table.num_rows - end
+    if rows_kept:
+        yield pa.Table.from_batches(kept)
 
 
 def label_measures(nodes: DataFrame, segs: DataFrame, width: Column, height: float, keep_off: Column, largest: float, tolerance: float, pitch: float) -> DataFrame:
@@ -289,25 +322,8 @@ def label_measures(nodes: DataFrame, segs: DataFrame, width: Column, height: flo
     curved = rows(curved, F.lit(BENT), a=c("n1"), b=c("n2"), **{k: c(k) for k in ("x1", "y1", "x2", "y2")}, bx1=c("b1.x"), by1=c("b1.y"), bx2=c("b2.x"), by2=c("b2.y"))
 
     def run(batches):
-        kept: list[pa.RecordBatch] = []
-        rows_kept = 0
-        for batch in batches:
-            kept.append(batch)
-            rows_kept += batch.num_rows
-            if rows_kept < BATCH or not batch.num_rows:
-                continue
-            last, first = ([b[k][at].as_py() for k in ("map_id", "tile")] for b, at in ((kept[-1], -1), (kept[0], 0)))
-            if last == first:
-                continue
-            # Up to the last change of map or tile; what follows may go on in the next batch.
-            table = pa.Table.from_batches(kept).combine_chunks()
-            differs = pc.or_(pc.not_equal(table["map_id"], table["map_id"][-1]), pc.not_equal(table["tile"], table["tile"][-1])).to_numpy()
-            end = int(np.flatnonzero(differs)[-1]) + 1
-            yield measured(table.slice(0, end), half, tolerance, pitch)
-            kept = table.slice(end).to_batches()
-            rows_kept = table.num_rows - end
-        if rows_kept:
-            yield measured(pa.Table.from_batches(kept), half, tolerance, pitch)
+        for table in whole_groups(batches, ("map_id", "tile")):
+            yield measured(table, half, tolerance, pitch)
 
     key = dict(nodes.dtypes)["map_id"]
     each = spots.unionByName(straight).unionByName(curved).where("map_id is not null").repartition("map_id", "tile").sortWithinPartitions("map_id", "tile")
