@@ -162,10 +162,14 @@ class Labels:
             k = np.flatnonzero(hit)
             i, j = i[k], j[k]
             other = (own[i] != n1[j]) & (own[i] != n2[j])
-            # A piece meets a box if their extents meet and the corners are not all on one side of the line.
-            dx, dy, ux, uy = (x2 - x1)[j], (y2 - y1)[j], x1[j], y1[j]
-            sides = np.stack([dx * (v[i] - uy) - dy * (u[i] - ux) for u in (left, right) for v in (top, bottom)])
-            hit[k] = other & (sides.min(0) <= 0) & (sides.max(0) >= 0)
+            # A piece meets a box if some of it is within both of the box's ranges: rounded as in the SQL, for pieces that just touch.
+            enter, leave = np.zeros(len(i)), np.ones(len(i))
+            for start, stop, low, high in ((x1[j], x2[j], left[i], right[i]), (y1[j], y2[j], top[i], bottom[i])):
+                d = stop - start
+                with np.errstate(all="ignore"):
+                    at = np.stack([(low - start) / d, (high - start) / d])
+                enter, leave = np.maximum(enter, np.where(d == 0, 0, at.min(0))), np.minimum(leave, np.where(d == 0, 1, at.max(0)))
+            hit[k] = other & (enter <= leave)
             return hit
 
         return self.count(_any(len(m), q, first, end, meets))

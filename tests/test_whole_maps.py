@@ -4,9 +4,11 @@ import datetime as dt
 import random
 
 import __spark_entry__ as entry
+import numpy as np
 import pytest
 
 from reactionloom.operators import drawing as D
+from reactionloom.operators import labels as L
 
 NODES = "map_id long, node_id long, node_type string, bigg_id string, x double, y double, added_at timestamp_ntz, deleted_at timestamp_ntz"
 SEGS = "map_id long, seg_id long, rid string, from_node_id string, to_node_id string, b1 struct<x:double,y:double>, b2 struct<x:double,y:double>"
@@ -68,3 +70,13 @@ def test_rows_of_tables_are_shuffled_about_once(spark):
         assert rows == 61 and moved() - before < 2 * own
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", setting)
+
+
+def test_touching_is_told_as_by_the_sql():
+    """A piece through a box's corner, as far as a tenth can be written: by the SQL's rounding it ends before the box."""
+    one = lambda v: np.array([v])
+    zero = np.array([0])
+    box = L.Labels(zero, one(1), one(4293.6), one(752.8), one(4363.200000000001), 12.5, np.array([True]), 1)
+    on = lambda y1, y2: int(box.on_edges(zero, one(2), one(3), one(25.5), one(y1), one(5929.5), one(y2))[0])
+    assert (box.top[0], box.bottom[0]) == (740.3, 765.3)
+    assert [on(2336.5, 128.5), on(2336.6, 128.6), on(2336.4, 128.4), on(750.0, 750.0)] == [0, 1, 0, 1]
